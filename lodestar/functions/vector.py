@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def summary(a: Column) -> Column:
 
 def from_base64(text: Column) -> Column:
     """Little-endian single-precision numbers, base64, to an array; null unless the bytes are whole numbers."""
-    import pandas as pd
-
     def decode(s: pd.Series) -> pd.Series:
         import base64
         import binascii
@@ -81,8 +80,6 @@ def from_base64(text: Column) -> Column:
 
 
 def to_base64(a: Column) -> Column:
-    import pandas as pd
-
     def encode(s: pd.Series) -> pd.Series:
         import base64
 
