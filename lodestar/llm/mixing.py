@@ -81,13 +81,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0)
     size, place = word_count("text"), draw(F.col("doc_id"))
     sized = materialize(docs.select("source", size.alias("size"), place.alias("draw")), "sized")
     goals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    plan = goals.alias("g").join(thresholds(sized, goals).alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select(F.col("g.source").alias("_s"), F.col("source_size").alias("_n"), F.col("target").alias("_t"), "whole", "cut", "upto")
+    plan = goals.alias("g").join(thresholds(sized, goals).alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")))
+    plan = plan.select(*[F.col(a).alias(f"_mix_{b}") for a, b in (("g.source", "source"), ("source_size", "size"), ("target", "target"), ("whole", "whole"), ("cut", "cut"), ("upto", "upto"))])
     plan = materialize(plan, "plan")
     names = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "times", "taken"}]
-    out = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("size"), place.alias("_draw")).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    extra = F.when((F.col("_draw") < F.col("cut")) | (F.col("upto") & (F.col("_draw") == F.col("cut"))), 1).otherwise(0)
-    out = out.withColumn("times", (F.col("whole") + extra).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in names], "size", F.col("_n").alias("source_size"), F.col("_t").alias("target"), "times", (F.col("times") * F.col("size")).alias("taken"))
+    out = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("size"), place.alias("_mix_draw")).join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
+    extra = F.when((F.col("_mix_draw") < F.col("_mix_cut")) | (F.col("_mix_upto") & (F.col("_mix_draw") == F.col("_mix_cut"))), 1).otherwise(0)
+    times = (F.col("_mix_whole") + extra).cast("long")
+    return out.select(*[F.col(f"`{c}`") for c in names], "size", F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
