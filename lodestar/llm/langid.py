@@ -122,7 +122,8 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], seed: int = 7)
                 out.append((langs[k], float(1 / np.exp(12 * (c - c[k])).sum()), float(plain[k] @ v)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "cosine"])
 
-    found = F.pandas_udf(label, "lang_pred string, score double, cosine double")
+    # Not to be evaluated once per use of its result.
+    found = F.pandas_udf(label, "lang_pred string, score double, cosine double").asNondeterministic()
     rows = with_columns_replaced(docs, _found=found(F.col("text").cast("string")))
     rows = with_columns_replaced(rows, **{c: F.col("_found")[c] for c in ("lang_pred", "score", "cosine")})
     return rows.drop("_found")
