@@ -187,6 +187,37 @@ def test_shard_trees_lose_no_link(spark, shard_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("shard_rows", [2048, 4])
+def test_near_copies(spark, docs, none, shard_rows):
+    passage = prose(50, 120)
+    texts = {}
+    for g in range(12):  # groups of edited copies, and texts that share a passage but are not alike
+        words = prose(600 + g, 200).split()
+        for c in range(4):
+            texts[10 * g + c] = " ".join(words[:40] + [f"edit{g}x{c}"] * bool(c) + words[40:])
+        texts[1000 + g] = passage + " " + prose(800 + g, 200)
+    texts |= {2000: None, 2001: "", 2002: "one two"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, shard_rows=shard_rows).collect()}
+    assert got == {i: i - i % 10 if i < 1000 else 2000 if i == 2001 else i for i in texts}
+    assert simhash.near_copies(none).count() == 0
+    twice = simhash.near_copies(docs.select("text", "doc_id")).collect()
+    assert len(twice) == docs.count() and {r["component_id"] for r in twice if r["doc_id"] in (5, 6, 7, None)} == {5}
+
+
+def test_wide_fingerprints_estimate_similarity():
+    r = random.Random(4)
+    for changed in (2, 8, 20):
+        a = [f"w{r.randrange(10**6)}" for _ in range(800)]
+        b = list(a)
+        for k in r.sample(range(800), changed):
+            b[k] = f"z{k}"
+        sets = [{tuple(x[i : i + 5]) for i in range(796)} for x in (a, b)]
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        fa, fb = (int.from_bytes(simhash.wide_fingerprint(" ".join(x).encode())[0], "big") for x in (a, b))
+        assert abs((fa ^ fb).bit_count() / 1024 - math.acos(2 * true / (1 + true)) / math.pi) < 0.05
+
+
 def test_quality(spark, docs, none, rows):
     extra = [(1000 + i, prose(i + 10, 120) + ".", "s", "en") for i in range(60)] + [(2000 + i, prose(i + 90, 100).replace(" ", "### ") + " |", "s", "en") for i in range(15)]
     df = docs.unionByName(spark.createDataFrame(extra, DOCS))
