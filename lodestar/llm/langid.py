@@ -14,6 +14,8 @@ from .common import with_columns_replaced
 
 #: Dimensions of a hypervector, letters of a gram, symbols that letters map to (0: between words).
 DIM, GRAM, SYMBOLS = 256, 3, 40
+#: Grams bound at once.
+STEP = 4096
 
 
 def _symbols() -> np.ndarray:
@@ -30,11 +32,21 @@ class Profiles:
 
     def __init__(self, seed: int = 7) -> None:
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIM))
-        a, b, c = (np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM))
-        #: The bound vector of every gram: SYMBOLS cubed rows.
-        self.bound = (a[:, None, None] * b[None, :, None] * c[None, None, :]).reshape(-1, DIM)
+        #: Letter vectors rotated for each place in a gram. Bound vectors of all grams would take 65 MB a task.
+        self.rotated = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
         self.symbol = _symbols()
 
+    def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum of the bound vectors of grams, ``STEP`` grams at a time."""
+        v = np.zeros(DIM, weights.dtype)
+        for at in range(0, len(codes), STEP):
+            c = codes[at : at + STEP]
+            bound = self.rotated[2][c % SYMBOLS]
+            bound *= self.rotated[1][c // SYMBOLS % SYMBOLS]
+            bound *= self.rotated[0][c // SYMBOLS**2]
+            v += weights[at : at + STEP] @ bound
+        return v
+
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct grams and their weights, the square roots of their counts; None without a letter."""
         cps = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -55,7 +67,7 @@ class Profiles:
         found = self.grams(text)
         if found is None:
             return None
-        v = found[1] @ self.bound[found[0]]
+        v = self.bundle(*found)
         norm = float(np.sqrt(v @ v))
         return v / norm if norm else v
 
@@ -83,7 +95,7 @@ def train(docs: DataFrame, seed: int = 7) -> dict[str, list[float]]:
                     # Bundling is linear: add up gram weights and bind once a task. The squared weights sum to the number of grams.
                     sums[lang][found[0]] += found[1] / np.sqrt(float(found[1] @ found[1]))
         langs = list(sums)
-        sums = {k: w @ profiles.bound for k, w in sums.items()}
+        sums = {k: profiles.bundle(np.flatnonzero(w), w[w != 0]) for k, w in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([sums[x].tolist() for x in langs], pa.list_(pa.float64()))], ["lang", "v"])
 
     parts = docs.where("lang is not null").select("lang", "text").mapInArrow(run, "lang string, v array<double>")
