@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import filters, text
 from ..functions import vector as V
-from ..operators import ann, search, stats, vecmap
+from ..operators import ann, embed, search, stats, vecmap
 from ..sources.store import latest, page
+from ..streaming import events as streams
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +165,71 @@ def vector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecmap.vector_map(records(spark, sf_dir))[0]
 
 
+def _ranked(spark: SparkSession, sf_dir: str, rid: int, k: int) -> DataFrame:
+    one = records(spark, sf_dir).where(F.col("id") == rid).select(F.col("id").alias("query_id"), "values")
+    return search.batch_top_k(records(spark, sf_dir), one, k, "cosine").select("id", "rank")
+
+
+def rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the neighbours of one record stand among those of another."""
+    return search.rank_delta(_ranked(spark, sf_dir, 7, 100), _ranked(spark, sf_dir, 11, 100))
+
+
+def ann_operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fewest probed cells, of a sweep, with a recall at 10 of 0.95."""
+    rows, q = records(spark, sf_dir), asked(spark, sf_dir)
+    cells = ann.fit_cells(rows, "cosine")
+    celled, truth, sweep = ann.assign(rows, cells), search.batch_top_k(rows, q, 10, "cosine"), None
+    for share in (8, 4, 2, 1):
+        effort = max(1, len(cells.centres) // share)
+        one = stats.recall(ann.batch_probe(celled, cells, q, 10, "cosine", effort), truth, 10).select(F.lit(effort).alias("effort"), "recall")
+        sweep = one if sweep is None else sweep.unionByName(one)
+    return stats.operating_point(sweep)
+
+
+def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages nearest to a text under hashed words of two sizes."""
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    asked_for = texts.orderBy("id").first()
+    if asked_for is None:
+        return spark.createDataFrame([], "model string, id long, score double, rank int")
+    return embed.compare_models(texts, asked_for["text"], [("hashed", "words-256", 256), ("hashed", "words-512", 512)], 10)[0]
+
+
+def quiet_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("key"))
+    return streams.sessions(e, "1 hour").select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "writes")
+
+
+def sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.windowed_latency(samples(spark, sf_dir), "1 hour", "20 minutes")
+    return s.select(F.col("start").cast("timestamp_ntz").alias("start"), "route", "samples", F.round("mean_ms", 6).alias("mean_ms"), "max_ms")
+
+
+def prometheus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.prometheus(stats.latency_histogram(samples(spark, sf_dir)))
+
+
+def purgeable_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of deleted records that a snapshot of all writes makes dispensable."""
+    return latest(changes(spark, sf_dir), keep_deleted=True).where("deleted").select("id", "seq")
+
+
+def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of the change log above a number, in order."""
+    return changes(spark, sf_dir).where("seq > 400").orderBy("seq", "id").limit(5000).select("seq", "id", "deleted", "metadata")
+
+
+def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 20,000 events; the rest is due for removal."""
+    return streams.retained(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "user_id"))
+
+
+def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.where(F.col("c_name").startswith("Customer#00000001")).select(F.col("c_name").alias("id"), "c_mktsegment")
+
+
 #: Name to filter over documents joined with labels: missing labels are missing fields.
 FILTERS = {
     "filter_eq": {"lang": "en", "quality": 1},
@@ -213,12 +279,20 @@ SQL = {
     "group_fields": "SELECT field, count(DISTINCT value) AS groups FROM (SELECT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'text', text FROM documents) WHERE length(value) <= 40 AND trim(value) <> '' GROUP BY field HAVING count(DISTINCT value) BETWEEN 2 AND 12",
     "facet_counts": "SELECT field, value, count(*) AS n FROM (SELECT 'o_orderpriority' AS field, o_orderpriority AS value FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders) GROUP BY field, value",
     "request_counts": f"SELECT route, 'POST' AS method, \"index\", CASE WHEN error THEN 500 ELSE 200 END AS status, count(*) AS requests FROM ({_SAMPLES}) GROUP BY ALL",
+    "rank_delta": "WITH r AS (SELECT q.vec_id AS q, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + _COS + " DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (7, 11)) SELECT o.id, o.rank, b.rank AS baseline_rank, b.rank - o.rank AS delta FROM r o LEFT JOIN r b ON o.id = b.id AND b.q = 7 AND b.rank <= 100 WHERE o.q = 11 AND o.rank <= 100",
+    "quiet_periods": "WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ts) AS n FROM e) SELECT key, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS writes FROM s GROUP BY key, n",
+    "sliding_latency": f"SELECT time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE AS start, route, count(*) AS samples, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms FROM ({_SAMPLES}), range(3) t(k) GROUP BY ALL",
+    "prometheus_lines": f"SELECT 'request_ms_bucket{{route=\"' || s.route || '\",le=\"' || coalesce(CAST(e.edge AS VARCHAR), '+Inf') || '\"}} ' || CAST(count(*) FILTER (WHERE e.edge IS NULL OR s.ms <= e.edge) AS VARCHAR) AS line FROM ({_SAMPLES}) s, ({_EDGES}) e GROUP BY s.route, e.edge",
+    "purgeable_markers": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'error'",
+    "log_page": "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS id, event_type = 'error' AS deleted, props AS metadata FROM events WHERE event_id > 400 ORDER BY event_id LIMIT 5000",
+    "audit_retention": "SELECT event_id AS id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 20000",
+    "prefix_scan": "SELECT c_name AS id, c_mktsegment FROM customer WHERE starts_with(c_name, 'Customer#00000001')",
     "labels_of_records": "SELECT doc_id, CASE WHEN length(t) > 90 THEN substr(t, 1, 89) || '…' ELSE t END AS label FROM (SELECT doc_id, nullif(trim(text), '') AS t FROM documents)",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (knn_filtered, knn_batch_dot, similar_records, vector_summary, label_centroid, filter_json_range, namespace_stats, list_page, lww_latest_live, latency_summary, latency_histogram, rolling_1h, tumbling_1h, text_ids, bow_embed, group_fields, facet_counts, request_counts, labels_of_records, ann_recall, vector_map)
+    plain = (knn_filtered, knn_batch_dot, similar_records, vector_summary, label_centroid, filter_json_range, namespace_stats, list_page, lww_latest_live, latency_summary, latency_histogram, rolling_1h, tumbling_1h, text_ids, bow_embed, group_fields, facet_counts, request_counts, labels_of_records, ann_recall, vector_map, rank_delta, ann_operating_point, model_ranking, quiet_periods, sliding_latency, prometheus_lines, purgeable_markers, log_page, audit_retention, prefix_scan)
     out = {"knn_cosine": _knn("cosine"), "knn_dot": _knn("dotproduct"), "knn_euclidean": _knn("euclidean")}
     return out | {f.__name__: f for f in plain} | {n: _filtered(spec) for n, spec in FILTERS.items()}
 
