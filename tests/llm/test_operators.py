@@ -402,3 +402,21 @@ def test_pipeline(spark, docs, rows):
     four = stage["mix_sources"](spark, three, "").persist()
     assert four.columns == df.columns and max(r["count"] for r in four.groupBy("doc_id").count().collect()) <= 3
     assert stage["sentencepiece"](spark, four, "").count() == four.count()
+
+
+def test_pipeline_edges(spark, docs, none):
+    """Every stage on an empty table, and with null ids, repeated rows and extra columns called like those that operators add."""
+    import corpus_pipeline as P
+
+    for _, stage in P.STAGES:
+        assert stage(spark, none.withColumn("n_chars", F.lit(0).cast("long")), "").count() == 0
+    names = ("Score", "cosine", "lang_pred", "held_out", "size", "target", "times", "copy", "count", "fp", "component_id", "spans", "a.b")
+    df = docs.select("*", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names])
+    want, at = df.columns, df
+    for name, stage in P.STAGES[:-1]:
+        at = stage(spark, at, "").persist()
+        assert at.columns == want and at.count() > 0, name
+        for r in at.collect():
+            assert all(r[n] == n + str(-1 if r["doc_id"] is None else r["doc_id"]) for n in names), name
+    assert any(r["doc_id"] is None for r in at.collect())
+    assert P.STAGES[-1][1](spark, at, "").count() == at.count()
