@@ -26,11 +26,14 @@ _HEX_RUN = re.compile(r"[0-9a-f]{24}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex) and identifiers are no secrets.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
-IDENTIFIER = re.compile(
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9]+|[_=+/-]+"
-    r"|[A-Za-z]+(?:[_/+=-][A-Za-z0-9]*)*"  # words joined by separators, paths
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+SEPARATORS = re.compile(r"[_/+=-]+")
+#: A part between separators that may be a word: letters with at most a short number after them.
+WORDLIKE = re.compile(r"([A-Za-z]+)[0-9]{0,3}")
+#: Characters per token from which letters are a word: rare and foreign words reach 1.9-2.4, random letters 1.4-1.7.
+LETTERS_RATIO = 1.9
+#: Letters that are too few to judge: of one case (first letter aside), and of mixed case. Characters that must be left over, or three fifths of a shorter string.
+SHORT_WORD, SHORT_MIXED, LEAST_RANDOM = 7, 3, 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -43,11 +46,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def looks_random(s: str, n_tokens: int, ratio: float) -> bool:
-    """Fewer than ``ratio`` characters per token, of mixed letters and digits, and neither digest nor identifier."""
-    if re.fullmatch(r"[0-9a-fA-F]+", s) and len(s) in DIGEST_LENGTHS or IDENTIFIER.fullmatch(s):
+def _is_word(part: str, encode) -> bool:
+    """A number, a digest, or letters the vocabulary knows (or too few to judge) with a short number after them."""
+    if part.isdigit() or len(part) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", part):
+        return True
+    m = WORDLIKE.fullmatch(part)
+    if not m:
         return False
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and len(s) < ratio * n_tokens
+    word = m.group(1)
+    few = SHORT_WORD if word[1:].islower() or word.isupper() else SHORT_MIXED
+    return len(word) <= few or len(word) >= LETTERS_RATIO * len(encode(word))
+
+
+def looks_random(s: str, encode, ratio: float) -> bool:
+    """Fewer than ``ratio`` characters per token in what is left without words, numbers, digests and UUIDs; ``LETTERS_RATIO`` where letters alone are left."""
+    left = [p for p in SEPARATORS.split(UUID.sub("-", s)) if p and not _is_word(p, encode)]
+    n = sum(map(len, left))
+    if n < min(LEAST_RANDOM, 0.6 * len(s)):
+        return False
+    return n < (LETTERS_RATIO if all(p.isalpha() for p in left) else ratio) * sum(len(encode(p)) for p in left)
 
 
 def random_spans(text: str, encode, ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -55,7 +72,7 @@ def random_spans(text: str, encode, ratio: float, taken: list[tuple[int, int, st
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(x < b and a < y for x, y, _ in taken) and looks_random(m.group(), len(encode(m.group())), ratio):
+        if not any(x < b and a < y for x, y, _ in taken) and looks_random(m.group(), encode, ratio):
             out.append((a, b, "random"))
     return out
 
@@ -79,8 +96,9 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, ratio: float = 2.4) ->
     """``(doc_id, text)`` to ``(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans)``.
 
     ``vocabulary`` is a tiktoken rank file that every executor can read and ``pattern`` the regex that
-    splits text before its merges. Strings of 20 or more characters that the vocabulary cannot
-    shorten to ``ratio`` characters a token are reported as ``random``. Spans are in code points,
+    splits text before its merges. Strings of 20 or more characters are cut at separators, words and
+    numbers are set aside, and what the vocabulary cannot shorten to ``ratio`` characters a token is
+    reported as ``random`` (the whole string). Spans are in code points,
     end exclusive. A scan without shuffle; whole texts of any length; null is empty text, which has
     no spans; repeated rows are scanned alike.
     """
