@@ -196,8 +196,7 @@ class Index:
         extra = (["values"] if include_values else []) + (["metadata"] if include_metadata else [])
         if plan.endswith("hnsw"):
             celled, cells = self._cells(namespace)
-            share = min(1.0, max(effort, top_k) / (10 * config.DEFAULT_EF))
-            nprobe = max(1, math.ceil(share * len(cells.centres)))
+            nprobe = min(len(cells.centres), math.ceil((cells.probes or len(cells.centres)) * max(effort, top_k) / config.DEFAULT_EF))
             hits = ann.probe(celled, cells, vector, top_k, self.config.metric, nprobe, where)
             if extra:
                 hits = hits.join(rows.select("id", *extra), "id").orderBy(V.best_first(self.config.metric), "id")
@@ -215,9 +214,12 @@ class Index:
             rows = self._live(ns)
             cells = ann.fit_cells(rows, self.config.metric)
             ann.assign(rows.drop("_m"), cells).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-            self.storage.write_text(f"{folder}.json", json.dumps(cells.centres))
+            cells = ann.measured(self.spark.read.parquet(path), cells)
+            self.storage.write_text(f"{folder}.json", json.dumps({"centres": cells.centres, "probes": cells.probes}))
         else:
-            cells = ann.Cells(json.loads(saved), self.config.metric)
+            saved = json.loads(saved)
+            # Cells kept as a bare list of centres were never measured: all are probed.
+            cells = ann.Cells(saved, self.config.metric) if isinstance(saved, list) else ann.Cells(saved["centres"], self.config.metric, saved["probes"])
         return self.spark.read.parquet(path).withColumn("_m", F.try_parse_json(F.coalesce("metadata", F.lit("{}")))), cells
 
     def search(self, text: str, top_k: int = 10, filter: dict | None = None, namespace: str | None = None) -> tuple[DataFrame, str]:

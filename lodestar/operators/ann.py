@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -15,23 +15,25 @@ from ..functions import vector as V
 
 #: Rows on which cells are fitted, a documented sample; every row is dealt to a cell.
 FIT_ROWS = 200_000
-#: Share of cells that are searched by default.
-PROBE_SHARE = 0.1
+#: Recall that the default number of probed cells reaches, at so many neighbours, and how many rows ask for theirs to find it.
+LEAST_RECALL, RECALL_K, ASKING_ROWS = 0.9, 10, 500
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Fitted cell centres (at most some thousand, so they ride along as a literal) and the metric they serve."""
+    """Fitted cell centres (at most some thousand, so they ride along as a literal), the metric they serve, and the cells a query probes by default (none: all)."""
 
     centres: list[list[float]]
     metric: str
+    probes: int | None = None
 
     def nearest(self, values: Column, n: int) -> Column:
         """The n cells nearest to a vector, as an array of cell numbers."""
         v = V.normalized(values) if self.metric == "cosine" else values
         table = F.array(*[V.literal(c) for c in self.centres])
-        far = F.transform(table, lambda c, i: F.struct(V.squared_l2(c, v).alias("d"), i.alias("cell")))
-        return F.transform(F.slice(F.array_sort(far), 1, n), lambda x: x["cell"])
+        far = lambda v: F.transform(table, lambda c, i: F.struct(V.squared_l2(c, v).alias("d"), i.alias("cell")))
+        near = F.transform(F.array(v), lambda v: F.transform(F.slice(F.array_sort(far(v)), 1, n), lambda x: x["cell"]))
+        return F.get(near, 0)  # bound by a lambda, so that it is normalized once rather than per cell
 
 
 def fit_cells(records: DataFrame, metric: str = "cosine", k: int | None = None, seed: int = 0, total: int | None = None) -> Cells:
@@ -49,11 +51,31 @@ def assign(records: DataFrame, cells: Cells) -> DataFrame:
     return records.withColumn("cell", F.get(cells.nearest(F.col("values"), 1), 0))
 
 
+def measured(celled: DataFrame, cells: Cells) -> Cells:
+    """``cells`` with the fewest probes by which a sample of the rows finds ``LEAST_RECALL`` of its ``RECALL_K`` nearest other rows; all cells where fewer do not."""
+    from .search import batch_top_k
+
+    rows = celled.select("id", "values")
+    q = rows.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(ASKING_ROWS).select(F.col("id").alias("query_id"), "values")
+    others = batch_top_k(rows, q, RECALL_K + 1, cells.metric).where("id <> query_id")
+    best = Window.partitionBy("query_id").orderBy("rank")
+    truth = others.withColumn("place", F.row_number().over(best)).where(F.col("place") <= RECALL_K).select("query_id", "id")
+    order = q.select("query_id", cells.nearest(F.col("values"), len(cells.centres)).alias("order"))
+    found = truth.join(celled.select("id", "cell"), "id").join(order, "query_id")
+    counts = found.groupBy(F.array_position("order", F.col("cell")).alias("effort")).count().orderBy("effort").collect()
+    seen, total = 0, sum(c["count"] for c in counts)
+    for c in counts:
+        seen += c["count"]
+        if seen >= LEAST_RECALL * total:
+            return replace(cells, probes=int(c["effort"]))
+    return cells
+
+
 def probe(celled: DataFrame, cells: Cells, query: Sequence[float], k: int, metric: str, nprobe: int | None = None, where: Column | None = None) -> DataFrame:
     """Top k of one query among its nearest cells; the filter applies before scoring."""
     from .search import top_k
 
-    nprobe = nprobe or max(1, round(PROBE_SHARE * len(cells.centres)))
+    nprobe = nprobe or cells.probes or len(cells.centres)
     spark = celled.sparkSession
     near = spark.range(1).select(cells.nearest(V.literal(query), nprobe).alias("c")).first()["c"]
     return top_k(celled.where(F.col("cell").isin(near)), query, k, metric, where)
@@ -61,7 +83,7 @@ def probe(celled: DataFrame, cells: Cells, query: Sequence[float], k: int, metri
 
 def batch_probe(celled: DataFrame, cells: Cells, queries: DataFrame, k: int = 10, metric: str = "cosine", nprobe: int | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: queries go to their nearest cells and meet the records there, so work follows cell sizes."""
-    nprobe = nprobe or max(1, round(PROBE_SHARE * len(cells.centres)))
+    nprobe = nprobe or cells.probes or len(cells.centres)
     q = queries.select("query_id", F.col("values").alias("q"), F.explode(cells.nearest(F.col("values"), nprobe)).alias("cell"))
     pairs = celled.join(q, "cell").select("query_id", "id", V.score(metric, F.col("values"), F.col("q")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(V.best_first(metric), F.col("id"))

@@ -42,3 +42,8 @@ def test_rows_without_sql(spark):
     ranked = catalog.model_ranking(spark, DATA).collect()
     assert {(r["model"], r["id"]) for r in ranked if r["rank"] == 1} == {("words-256", 0), ("words-512", 0)}
     assert catalog.ann_operating_point(spark, DATA).first()["recall"] >= 0.95
+
+
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"])
+def test_default_recall(spark, data):
+    assert catalog.ann_recall(spark, data).first()["recall"] >= 0.9
