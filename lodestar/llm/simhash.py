@@ -276,6 +276,13 @@ def _wide_links(radius: int):
     return run
 
 
+def in_block_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of groups of ``count`` dealt to blocks of half of ``limit``, once for each ``part``, a pair of blocks, so that any two rows meet."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("count") * 2 / limit)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("blocks", "block", "other")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, component_id)``: documents whose sets of word shingles are alike to ``similarity`` or more.
 
@@ -283,8 +290,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_
     on bits. So fingerprints are wide (a standard deviation of about 0.03 in similarity), linked
     within ``radius_for(similarity)``, and meet in shards that agree on two of ``LEASTS`` least shingle
     hashes; texts alike to 0.8 share such a shard but for 1 in 10,000 pairs. Shards of over
-    ``shard_rows`` values, as of passages that many documents share, are refined by a third and a fourth
-    least hash (0.1 and 1 pairs of 100 at 0.8 share fewer). What is larger still is dealt to pairs of blocks,
+    ``shard_rows`` values, as of passages that many documents share, are dealt to pairs of blocks,
     so that every pair of values meets in one tree of bounded size. A value alone in its shard goes no further.
 
     ``component_id`` is the smallest doc_id reachable over links. Copies collapse before any search. Null
@@ -301,22 +307,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_
         return materialize(rows.join(shared, ["mask", "key"]).select("node", "mask", "key", "count"), "met")
 
     rows = met(rows)
-    done = [rows.where(F.col("count") <= shard_rows)]
-    for _ in range(2):
-        rows = rows.where(F.col("count") > shard_rows)
-        if rows.isEmpty():
-            break
-        bits = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.col("least")[k].alias("value")) for k in range(LEASTS)])
-        rows = rows.join(known.select("node", "least"), "node").select("node", "mask", "key", F.explode(bits).alias("x")).where("x.bit > mask")
-        rows = met(rows.select("node", F.col("mask").bitwiseOR(F.col("x.bit")).alias("mask"), F.xxhash64("key", "x.value").alias("key")))
-        done.append(rows.where(F.col("count") <= shard_rows))
-    dealt = done[0]
-    for more in done[1:]:
-        dealt = dealt.unionByName(more)
-    dealt = dealt.select("node", "mask", "key", F.lit(0).cast("long").alias("part"))
-    large = rows.where(F.col("count") > shard_rows).withColumn("blocks", F.ceil(F.col("count") * 2 / shard_rows)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    large = large.select("node", "mask", "key", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    large = large.select("node", "mask", "key", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"))
+    dealt = rows.where(F.col("count") <= shard_rows).select("node", "mask", "key", F.lit(0).cast("long").alias("part"))
+    large = in_block_pairs(rows.where(F.col("count") > shard_rows), shard_rows).select("node", "mask", "key", "part")
     dealt = dealt.unionByName(large).join(known.select("node", "fp"), "node").select("mask", "key", "part", "node", "fp")
     links = dealt.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part", "node").mapInArrow(_wide_links(radius_for(similarity)), "a long, b long")
     roots = connected_components(links)

@@ -206,6 +206,25 @@ def test_near_copies(spark, docs, none, shard_rows):
     assert len(twice) == docs.count() and {r["component_id"] for r in twice if r["doc_id"] in (5, 6, 7, None)} == {5}
 
 
+def test_near_copies_that_agree_on_two_hashes_in_a_large_shard(spark, monkeypatch):
+    """Texts alike that share two least hashes with many others, but a third with none."""
+    text = lambda i: prose(900 + i, 60) if i > 1 else prose(900, 60) + " end" * i
+    made = simhash.wide_fingerprint
+
+    def fixed(t, width=5):
+        i = next(i for i in range(12) if text(i).encode() == t)
+        return made(t, width)[0], [1, *[100 * i + k for k in range(1, 7)], 2]
+
+    def here(docs, width=5):
+        rows = [(r["doc_id"], *fixed(r["text"].encode())) for r in docs.collect()]
+        return spark.createDataFrame(rows, "doc_id long, fp binary, least array<long>")
+
+    monkeypatch.setattr(simhash, "wide_fingerprints", here)
+    df = spark.createDataFrame([(i, text(i)) for i in range(12)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, shard_rows=4).collect()}
+    assert got == {i: 0 if i == 1 else i for i in range(12)}
+
+
 def test_wide_fingerprints_estimate_similarity():
     r = random.Random(4)
     for changed in (2, 8, 20):
