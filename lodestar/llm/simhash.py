@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, groupby
 
 import numpy as np
@@ -87,10 +87,12 @@ class ShardTree:
 
     Groups of linked values are kept by union-find. A subtree known to lie in the searcher's own
     group is not entered again: its links add nothing to that group. So a dense group of near
-    copies costs about one path per value rather than all pairs.
+    copies costs about one path per value rather than all pairs. ``linked`` has the last word on whether
+    two values (by their numbers) within the radius link; it is asked only where that would join two groups.
     """
 
-    def __init__(self, radius: int) -> None:
+    def __init__(self, radius: int, linked: Callable[[int, int], bool] | None = None) -> None:
+        self.linked = linked
         self.radius, self.value, self.kids, self.parent, self.mixed = radius, [], [], [], []
 
     def find(self, i: int) -> int:
@@ -114,7 +116,8 @@ class ShardTree:
             d = (self.value[x] ^ value).bit_count()
             if d <= r:
                 a, b = self.find(x), self.find(me)
-                self.parent[max(a, b)] = min(a, b)
+                if a != b and (self.linked is None or self.linked(x, me)):
+                    self.parent[max(a, b)] = min(a, b)
             kids = self.kids[x]
             seen.append(x)
             if len(kids) <= 2 * r + 1:
@@ -215,19 +218,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFra
 WORDS, LEASTS = 16, 8
 
 
+def shingle_hashes(text: bytes | None, width: int = 5) -> set[int]:
+    """XXH64 of the distinct word shingles, words and shingles as in ``fingerprint``."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def wide_fingerprint(text: bytes | None, width: int = 5) -> tuple[bytes, list[int]]:
     """SimHash of the distinct word shingles in ``64 * WORDS`` bits, and the least value of each of ``LEASTS`` hash functions.
 
     Word ``k`` of the fingerprint counts the bits of the k-th remixed hash of every shingle. Words and
     shingles as in ``fingerprint``; no word or null: all zero.
     """
-    import xxhash
-
-    words = (text or b"").lower().split()
-    if not words:
+    found = shingle_hashes(text, width)
+    if not found:
         return bytes(8 * WORDS), [0] * LEASTS
-    digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))}
     base = np.fromiter(found, np.uint64, len(found))
     counts = np.zeros(64 * WORDS, np.int64)
     least = np.full(LEASTS, np.iinfo(np.uint64).max, np.uint64)
@@ -255,8 +262,23 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, least array<long>")
 
 
-def radius_for(similarity: float, slack: float = 1.3) -> int:
-    """Differing bits of a wide fingerprint at a Jaccard similarity of shingle sets of one size, and ``slack`` standard deviations more."""
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``(doc_id, shingles)`` of every row: the sorted hashes of its distinct shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.sort(np.fromiter(shingle_hashes(t, width), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles binary")
+
+
+def radius_for(similarity: float, slack: float = 6.5) -> int:
+    """Differing bits of a wide fingerprint at a Jaccard similarity of shingle sets of one size, and ``slack`` standard deviations more.
+
+    Three are enough for long texts; sets of four and five shingles alike to 0.8, where half of the bits
+    are near ties, differ in 192 of 1,024 bits on average.
+    """
     n, p = 64 * WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(n * p + slack * math.sqrt(n * p * (1 - p)))
 
@@ -276,6 +298,33 @@ def _wide_links(radius: int):
     return run
 
 
+def _alike_links(radius: int, similarity: float):
+    """Links of rows ``(key, part, node, fp, shingles)`` whose shingle sets are alike to ``similarity`` or more; trees find the pairs to compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, shard in groupby(rows, lambda r: r[:2]):
+            ids, sets = [], []
+
+            def alike(i: int, j: int, sets: list[np.ndarray] = sets) -> bool:
+                a, b = sorted((len(sets[i]), len(sets[j])))
+                if a < similarity * b - 1e-9:
+                    return False
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return both >= similarity * (a + b - both) - 1e-9
+
+            tree = ShardTree(radius, alike)
+            for *_, node, fp, shingles in shard:
+                ids.append(node)
+                sets.append(np.frombuffer(shingles, np.uint64))
+                tree.add(int.from_bytes(fp, "big"))
+            pairs = [(ids[root], node) for i, node in enumerate(ids) if (root := tree.find(i)) != i]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+    return run
+
+
 def in_block_pairs(rows: DataFrame, limit: int) -> DataFrame:
     """Rows of groups of ``count`` dealt to blocks of half of ``limit``, once for each ``part``, a pair of blocks, so that any two rows meet."""
     dealt = rows.withColumn("blocks", F.ceil(F.col("count") * 2 / limit)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -287,8 +336,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_
     """``(doc_id, text)`` to ``(doc_id, component_id)``: documents whose sets of word shingles are alike to ``similarity`` or more.
 
     At a similarity of 0.8 about a seventh of all SimHash bits differ, too many for shards that agree
-    on bits. So fingerprints are wide (a standard deviation of about 0.03 in similarity), linked
-    within ``radius_for(similarity)``, and meet in shards that agree on two of ``LEASTS`` least shingle
+    on bits. So fingerprints are wide (a standard deviation of about 0.03 in similarity), are candidates
+    within ``radius_for(similarity)``, link if their shingle sets are that much alike, and meet in shards that agree on two of ``LEASTS`` least shingle
     hashes; texts alike to 0.8 share such a shard but for 1 in 10,000 pairs. Shards of over
     ``shard_rows`` values, as of passages that many documents share, are dealt to pairs of blocks,
     so that every pair of values meets in one tree of bounded size. A value alone in its shard goes no further.
@@ -311,6 +360,15 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_
     large = in_block_pairs(rows.where(F.col("count") > shard_rows), shard_rows).select("node", "mask", "key", "part")
     dealt = dealt.unionByName(large).join(known.select("node", "fp"), "node").select("mask", "key", "part", "node", "fp")
     links = dealt.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part", "node").mapInArrow(_wide_links(radius_for(similarity)), "a long, b long")
+    # What hangs together by the estimate is brought together once more, with its shingles, and linked by those.
+    groups = materialize(connected_components(links), "candidates")
+    groups = groups.join(groups.groupBy("root").count(), "root").select("node", F.col("root").alias("key"), "count")
+    dealt = groups.where(F.col("count") <= shard_rows).select("node", "key", F.lit(0).cast("long").alias("part"))
+    dealt = dealt.unionByName(in_block_pairs(groups.where(F.col("count") > shard_rows), shard_rows).select("node", "key", "part"))
+    member = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.select("node"), "node", "left_semi")
+    sets = shingle_sets(member.select(F.col("node").alias("doc_id"), "text"), width).dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "node")
+    dealt = dealt.join(materialize(sets, "shingles"), "node").join(known.select("node", "fp"), "node").select("key", "part", "node", "fp", "shingles")
+    links = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_alike_links(radius_for(similarity), similarity), "a long, b long")
     roots = connected_components(links)
     known = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", "component_id")

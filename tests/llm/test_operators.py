@@ -225,6 +225,29 @@ def test_near_copies_that_agree_on_two_hashes_in_a_large_shard(spark, monkeypatc
     assert got == {i: 0 if i == 1 else i for i in range(12)}
 
 
+@pytest.mark.parametrize("shard_rows", [2048, 4])
+def test_near_copies_are_checked_on_the_texts(spark, shard_rows):
+    """Pairs around 0.8, and short texts, link exactly where their shingle sets are alike to 0.8."""
+    r, texts = random.Random(6), {}
+    for g in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(204)]
+        texts[10 * g] = " ".join(words)
+        at = r.randrange(30, 60)
+        texts[10 * g + 1] = " ".join(words[:at] + words[at + 14 + g % 20 :] + [f"z{g}x{k}" for k in range(10)])
+    for g in range(20):
+        words = [f"s{r.randrange(10**6)}" for _ in range(9)]
+        texts |= {5000 + 10 * g: " ".join(words), 5001 + 10 * g: " ".join(words[:8])}
+    sets = {i: simhash.shingle_hashes(t.encode()) for i, t in texts.items()}
+    true = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in texts if i % 10 == 0}
+    assert sum(0.75 < x < 0.8 for x in true.values()) >= 5 and sum(0.8 <= x < 0.85 for x in true.values()) >= 5
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(df, shard_rows=shard_rows).collect()}
+    wrong = [i for i, x in true.items() if (got[i + 1] == i) != (x >= 0.8)]
+    assert [i for i in wrong if i < 5000] == []
+    assert len(wrong) <= 1  # of short texts, 1 in 100 pairs agrees on fewer than two of the eight least hashes
+    assert all(got[i] == i for i in true)
+
+
 def test_wide_fingerprints_estimate_similarity():
     r = random.Random(4)
     for changed in (2, 8, 20):
