@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_tables, materialize, table_mark
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the edges to what is left between groups, so the edge table shrinks geometrically. ``min`` is
     combined before the shuffle, so a hub that holds a third of all edges sends one row per task;
     the joins on a hub's key are left to adaptive skew splitting. Only nodes with an edge are
-    returned. Null ends and self loops are ignored; repeated edges do not matter.
+    returned. Null ends and self loops are ignored; repeated edges do not matter. Tables of the rounds
+    are removed; the result is one table.
     """
+    spark, mark = edges.sparkSession, table_mark()
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     levels = []
     while not edges.isEmpty():
@@ -38,4 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for level in levels[1:]:
         nxt = level.select(F.col("node").alias("root"), F.col("to").alias("up"))
         out = out.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    out = materialize(out, "roots")
+    drop_tables(spark, mark, keep=1)
     return out

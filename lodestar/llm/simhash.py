@@ -8,7 +8,7 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -215,27 +215,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFra
 
 
 #: 64-bit words of a wide fingerprint, and how many of them also give a least value to shard by.
-WORDS, LEASTS = 16, 8
+WORDS, LEASTS = 16, 10
+#: What is taken off the ends of a word before it is compared.
+EDGES = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 
-def shingle_hashes(text: bytes | None, width: int = 5) -> set[int]:
-    """XXH64 of the distinct word shingles, words and shingles as in ``fingerprint``."""
+def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Sorted XXH64 of the distinct word shingles. A-Z are lower-cased and ASCII punctuation goes from both ends of a word, unless it is the whole word."""
     import xxhash
 
-    words = (text or b"").lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else set()
+    words = [w.strip(EDGES) or w for w in (text or b"").lower().split()]
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    last = ends[min(width, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(first, last, strict=True)], np.uint64))
 
 
-def wide_fingerprint(text: bytes | None, width: int = 5) -> tuple[bytes, list[int]]:
-    """SimHash of the distinct word shingles in ``64 * WORDS`` bits, and the least value of each of ``LEASTS`` hash functions.
+def wide_fingerprint(base: np.ndarray) -> tuple[bytes, list[int]]:
+    """SimHash of shingle hashes in ``64 * WORDS`` bits, and the least value of each of ``LEASTS`` hash functions.
 
-    Word ``k`` of the fingerprint counts the bits of the k-th remixed hash of every shingle. Words and
-    shingles as in ``fingerprint``; no word or null: all zero.
+    Word ``k`` of the fingerprint counts the bits of the k-th remixed hash of every shingle. No shingle: all zero.
     """
-    found = shingle_hashes(text, width)
-    if not found:
+    if not len(base):
         return bytes(8 * WORDS), [0] * LEASTS
-    base = np.fromiter(found, np.uint64, len(found))
     counts = np.zeros(64 * WORDS, np.int64)
     least = np.full(LEASTS, np.iinfo(np.uint64).max, np.uint64)
     step = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, WORDS + 1, dtype=np.uint64)
@@ -251,76 +258,97 @@ def wide_fingerprint(text: bytes | None, width: int = 5) -> tuple[bytes, list[in
     return np.packbits(2 * counts > len(base)).tobytes(), least.view(np.int64).tolist()
 
 
+def text_key() -> Column:
+    """16 bytes that stand for a whole text; null text is empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def set_key(base: np.ndarray) -> bytes:
+    """16 bytes that stand for a set of shingles."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(base.tobytes())
+
+
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, fp, least)`` of every row."""
+    """``(doc_id, text_key, node, fp, least)`` of every row. ``text_key`` is the MD5 of the text, ``node`` stands for its set of shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["doc_id", "fp", "least"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [shingle_hashes(t, width) for t in part.column(2).to_pylist()]
+                made = [wide_fingerprint(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array([f for f, _ in made], pa.binary()), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "fp", "least"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, least array<long>")
+    return docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, text_key binary, node binary, fp binary, least array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, shingles)`` of every row: the sorted hashes of its distinct shingles, 8 bytes each."""
+def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """``(node, shingles)`` of each ``text``: the sorted hashes of the distinct shingles, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [np.sort(np.fromiter(shingle_hashes(t, width), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
+            for k in range(0, b.num_rows, 256):
+                sets = [shingle_hashes(t, width) for t in b.column(0).slice(k, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node binary, shingles binary")
 
 
 def radius_for(similarity: float, slack: float = 6.5) -> int:
-    """Differing bits of a wide fingerprint at a Jaccard similarity of shingle sets of one size, and ``slack`` standard deviations more.
+    """Differing bits of a wide fingerprint at a cosine of shingle sets, and ``slack`` standard deviations more.
 
-    Three are enough for long texts; sets of four and five shingles alike to 0.8, where half of the bits
-    are near ties, differ in 192 of 1,024 bits on average.
+    Three are enough for long texts; in sets of four and five shingles half of the bits are near ties.
     """
-    n, p = 64 * WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n, p = 64 * WORDS, math.acos(similarity) / math.pi
     return round(n * p + slack * math.sqrt(n * p * (1 - p)))
 
 
+def _stars(ids: list[bytes], tree: ShardTree) -> Iterator[pa.RecordBatch]:
+    """The groups of a tree as links from each member to the group's first."""
+    pairs = [(ids[root], node) for i, node in enumerate(ids) if (root := tree.find(i)) != i]
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for k in range(0, b.num_rows, 1024):
+            yield from zip(*(c.to_pylist() for c in b.slice(k, 1024).columns), strict=True)
+
+
 def _wide_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for _, shard in groupby(rows, lambda r: r[:3]):
+        for _, shard in groupby(_rows(batches), lambda r: r[:3]):
             tree, ids = ShardTree(radius), []
             for *_, node, fp in shard:
                 tree.add(int.from_bytes(fp, "big"))
                 ids.append(node)
-            pairs = [(ids[root], node) for i, node in enumerate(ids) if (root := tree.find(i)) != i]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+            yield from _stars(ids, tree)
 
     return run
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the cosine of two sorted sets, shared over the root of the product of their sizes, is that high."""
+    least = similarity * math.sqrt(len(a) * len(b)) - 1e-9
+    return min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
+
+
 def _alike_links(radius: int, similarity: float):
     """Links of rows ``(key, part, node, fp, shingles)`` whose shingle sets are alike to ``similarity`` or more; trees find the pairs to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for _, shard in groupby(rows, lambda r: r[:2]):
+        for _, shard in groupby(_rows(batches), lambda r: r[:2]):
             ids, sets = [], []
-
-            def alike(i: int, j: int, sets: list[np.ndarray] = sets) -> bool:
-                a, b = sorted((len(sets[i]), len(sets[j])))
-                if a < similarity * b - 1e-9:
-                    return False
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                return both >= similarity * (a + b - both) - 1e-9
-
-            tree = ShardTree(radius, alike)
+            tree = ShardTree(radius, lambda i, j, sets=sets: alike(sets[i], sets[j], similarity))
             for *_, node, fp, shingles in shard:
                 ids.append(node)
                 sets.append(np.frombuffer(shingles, np.uint64))
                 tree.add(int.from_bytes(fp, "big"))
-            pairs = [(ids[root], node) for i, node in enumerate(ids) if (root := tree.find(i)) != i]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+            yield from _stars(ids, tree)
 
     return run
 
@@ -333,42 +361,42 @@ def in_block_pairs(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
-    """``(doc_id, text)`` to ``(doc_id, component_id)``: documents whose sets of word shingles are alike to ``similarity`` or more.
-
-    At a similarity of 0.8 about a seventh of all SimHash bits differ, too many for shards that agree
-    on bits. So fingerprints are wide (a standard deviation of about 0.03 in similarity), are candidates
-    within ``radius_for(similarity)``, link if their shingle sets are that much alike, and meet in shards that agree on two of ``LEASTS`` least shingle
-    hashes; texts alike to 0.8 share such a shard but for 1 in 10,000 pairs. Shards of over
-    ``shard_rows`` values, as of passages that many documents share, are dealt to pairs of blocks,
-    so that every pair of values meets in one tree of bounded size. A value alone in its shard goes no further.
-
-    ``component_id`` is the smallest doc_id reachable over links. Copies collapse before any search. Null
-    and empty texts are copies of each other. Rows with a null id stay, as copies of others or with a null component.
+    """``(doc_id, text)`` to ``(doc_id, text_key, node, group)``: texts whose sets of word shingles have a cosine of ``similarity`` or more.
+
+    Cosine is what SimHash estimates: the share of differing bits is the angle of the sets over pi. For sets
+    of one size 0.8 is a Jaccard similarity of two thirds. That is too many bits for shards that agree
+    on bits, so fingerprints are wide and meet in shards that agree on two of ``LEASTS`` least shingle
+    hashes: 1 in 1,500 pairs right at 0.8 share none. BK-trees of the shards give candidates within
+    ``radius_for(similarity)``. What hangs together by them is brought together once more with its
+    shingles, and only pairs that are alike by the sets themselves are linked. Groups of over
+    ``shard_rows`` values, as of passages that many texts share, are dealt to pairs of blocks, so that every
+    pair meets in one tree of bounded size. A value alone in its shard goes no further.
+
+    ``text_key`` stands for the text, ``node`` for the set of its shingles and ``group`` for what is
+    reachable over links. None depends on ids, so different texts of one id, or of none, keep apart.
+    Texts with equal sets are copies; null and empty ones are copies of each other.
     """
     fps = materialize(wide_fingerprints(docs, width), "wide")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("least").alias("least")), "wideclasses")
-    known = classes.where("node is not null")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    known = materialize(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("least").alias("least"), first), "wideclasses")
     pairs = [F.struct(F.lit(1 << i | 1 << j).alias("mask"), F.xxhash64(F.col("least")[i], F.col("least")[j]).alias("key")) for i, j in combinations(range(LEASTS), 2)]
     rows = known.select("node", F.explode(F.array(*pairs)).alias("s")).select("node", "s.mask", "s.key")
-
-    def met(rows: DataFrame) -> DataFrame:
-        shared = rows.groupBy("mask", "key").count().where("count > 1")
-        return materialize(rows.join(shared, ["mask", "key"]).select("node", "mask", "key", "count"), "met")
-
-    rows = met(rows)
+    shared = rows.groupBy("mask", "key").count().where("count > 1")
+    rows = materialize(rows.join(shared, ["mask", "key"]).select("node", "mask", "key", "count"), "met")
     dealt = rows.where(F.col("count") <= shard_rows).select("node", "mask", "key", F.lit(0).cast("long").alias("part"))
     large = in_block_pairs(rows.where(F.col("count") > shard_rows), shard_rows).select("node", "mask", "key", "part")
     dealt = dealt.unionByName(large).join(known.select("node", "fp"), "node").select("mask", "key", "part", "node", "fp")
-    links = dealt.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part", "node").mapInArrow(_wide_links(radius_for(similarity)), "a long, b long")
+    links = dealt.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part", "node").mapInArrow(_wide_links(radius_for(similarity)), "a binary, b binary")
     # What hangs together by the estimate is brought together once more, with its shingles, and linked by those.
-    groups = materialize(connected_components(links), "candidates")
+    groups = connected_components(links)
     groups = groups.join(groups.groupBy("root").count(), "root").select("node", F.col("root").alias("key"), "count")
     dealt = groups.where(F.col("count") <= shard_rows).select("node", "key", F.lit(0).cast("long").alias("part"))
     dealt = dealt.unionByName(in_block_pairs(groups.where(F.col("count") > shard_rows), shard_rows).select("node", "key", "part"))
-    member = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.select("node"), "node", "left_semi")
-    sets = shingle_sets(member.select(F.col("node").alias("doc_id"), "text"), width).dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "node")
+    # One row of each set reads its text again.
+    reads = known.join(groups.select("node"), "node", "left_semi").select(F.col("first.doc_id").alias("_i"), F.col("first.text_key").alias("_k"))
+    read = docs.select("doc_id", "text", text_key().alias("_key")).join(reads, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi")
+    sets = shingle_sets(read, width).dropDuplicates(["node"])
     dealt = dealt.join(materialize(sets, "shingles"), "node").join(known.select("node", "fp"), "node").select("key", "part", "node", "fp", "shingles")
-    links = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_alike_links(radius_for(similarity), similarity), "a long, b long")
+    links = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_alike_links(radius_for(similarity), similarity), "a binary, b binary")
     roots = connected_components(links)
-    known = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", "component_id")
+    return fps.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", "node", F.coalesce("root", "node").alias("group"))

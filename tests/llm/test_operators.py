@@ -188,6 +188,26 @@ def test_shard_trees_lose_no_link(spark, shard_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def least_of_groups(found):
+    """Smallest id of each row's group, by id; rows without an id under their text's digest."""
+    groups = collections.defaultdict(list)
+    for r in found:
+        groups[bytes(r["group"])].append(r["doc_id"])
+    least = {g: min((i for i in ids if i is not None), default=None) for g, ids in groups.items()}
+    return {r["doc_id"]: least[bytes(r["group"])] for r in found}
+
+
+def shingle_set(text):
+    import string as s
+
+    words = [w.strip(s.punctuation) or w for w in WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def cosine(a, b):
+    return 1.0 if a == b else len(a & b) / math.sqrt(len(a) * len(b)) if a and b else 0.0
+
+
 @pytest.mark.parametrize("shard_rows", [2048, 4])
 def test_near_copies(spark, docs, none, shard_rows):
     passage = prose(50, 120)
@@ -199,11 +219,11 @@ def test_near_copies(spark, docs, none, shard_rows):
         texts[1000 + g] = passage + " " + prose(800 + g, 200)
     texts |= {2000: None, 2001: "", 2002: "one two"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, shard_rows=shard_rows).collect()}
+    got = least_of_groups(simhash.near_copies(df, shard_rows=shard_rows).collect())
     assert got == {i: i - i % 10 if i < 1000 else 2000 if i == 2001 else i for i in texts}
     assert simhash.near_copies(none).count() == 0
     twice = simhash.near_copies(docs.select("text", "doc_id")).collect()
-    assert len(twice) == docs.count() and {r["component_id"] for r in twice if r["doc_id"] in (5, 6, 7, None)} == {5}
+    assert len(twice) == docs.count() and {bytes(r["group"]) for r in twice if r["doc_id"] in (5, 6, 7, None)} == {bytes(r["group"]) for r in twice if r["doc_id"] == 5}
 
 
 def test_near_copies_that_agree_on_two_hashes_in_a_large_shard(spark, monkeypatch):
@@ -211,40 +231,38 @@ def test_near_copies_that_agree_on_two_hashes_in_a_large_shard(spark, monkeypatc
     text = lambda i: prose(900 + i, 60) if i > 1 else prose(900, 60) + " end" * i
     made = simhash.wide_fingerprint
 
-    def fixed(t, width=5):
-        i = next(i for i in range(12) if text(i).encode() == t)
-        return made(t, width)[0], [1, *[100 * i + k for k in range(1, 7)], 2]
-
     def here(docs, width=5):
-        rows = [(r["doc_id"], *fixed(r["text"].encode())) for r in docs.collect()]
-        return spark.createDataFrame(rows, "doc_id long, fp binary, least array<long>")
+        rows = []
+        for r in docs.collect():
+            base, i = simhash.shingle_hashes(r["text"].encode()), r["doc_id"]
+            rows.append((i, hashlib.md5(r["text"].encode()).digest(), simhash.set_key(base), made(base)[0], [1, *[100 * i + k for k in range(1, simhash.LEASTS - 1)], 2]))
+        return spark.createDataFrame(rows, "doc_id long, text_key binary, node binary, fp binary, least array<long>")
 
     monkeypatch.setattr(simhash, "wide_fingerprints", here)
     df = spark.createDataFrame([(i, text(i)) for i in range(12)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, shard_rows=4).collect()}
+    got = least_of_groups(simhash.near_copies(df, shard_rows=4).collect())
     assert got == {i: 0 if i == 1 else i for i in range(12)}
 
 
 @pytest.mark.parametrize("shard_rows", [2048, 4])
 def test_near_copies_are_checked_on_the_texts(spark, shard_rows):
-    """Pairs around 0.8, and short texts, link exactly where their shingle sets are alike to 0.8."""
+    """Pairs around 0.8, and short texts, link exactly where the cosine of their shingle sets is 0.8 or more."""
     r, texts = random.Random(6), {}
     for g in range(60):
         words = [f"w{r.randrange(10**6)}" for _ in range(204)]
         texts[10 * g] = " ".join(words)
         at = r.randrange(30, 60)
-        texts[10 * g + 1] = " ".join(words[:at] + words[at + 14 + g % 20 :] + [f"z{g}x{k}" for k in range(10)])
+        texts[10 * g + 1] = " ".join(w.upper() + ",." for w in words[:at] + words[at + 24 + 2 * (g % 24) :] + [f"z{g}x{k}" for k in range(17)])
     for g in range(20):
         words = [f"s{r.randrange(10**6)}" for _ in range(9)]
         texts |= {5000 + 10 * g: " ".join(words), 5001 + 10 * g: " ".join(words[:8])}
-    sets = {i: simhash.shingle_hashes(t.encode()) for i, t in texts.items()}
-    true = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in texts if i % 10 == 0}
+    true = {i: cosine(shingle_set(texts[i]), shingle_set(texts[i + 1])) for i in texts if i % 10 == 0}
     assert sum(0.75 < x < 0.8 for x in true.values()) >= 5 and sum(0.8 <= x < 0.85 for x in true.values()) >= 5
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(df, shard_rows=shard_rows).collect()}
+    got = least_of_groups(simhash.near_copies(df, shard_rows=shard_rows).collect())
     wrong = [i for i, x in true.items() if (got[i + 1] == i) != (x >= 0.8)]
     assert [i for i in wrong if i < 5000] == []
-    assert len(wrong) <= 1  # of short texts, 1 in 100 pairs agrees on fewer than two of the eight least hashes
+    assert len(wrong) <= 1  # few pairs of short texts agree on fewer than two of the least hashes
     assert all(got[i] == i for i in true)
 
 
@@ -255,10 +273,47 @@ def test_wide_fingerprints_estimate_similarity():
         b = list(a)
         for k in r.sample(range(800), changed):
             b[k] = f"z{k}"
-        sets = [{tuple(x[i : i + 5]) for i in range(796)} for x in (a, b)]
-        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-        fa, fb = (int.from_bytes(simhash.wide_fingerprint(" ".join(x).encode())[0], "big") for x in (a, b))
-        assert abs((fa ^ fb).bit_count() / 1024 - math.acos(2 * true / (1 + true)) / math.pi) < 0.05
+        true = cosine(*(shingle_set(" ".join(x)) for x in (a, b)))
+        fa, fb = (int.from_bytes(simhash.wide_fingerprint(simhash.shingle_hashes(" ".join(x).encode()))[0], "big") for x in (a, b))
+        assert abs((fa ^ fb).bit_count() / 1024 - math.acos(true) / math.pi) < 0.05
+
+
+def test_near_copies_of_the_given_documents(spark):
+    """Every pair of the given documents that brute force finds alike is in one group, and no group holds what it does not link."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in rows}
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for pair in {(b, a) for ids in holders.values() for k, a in enumerate(ids) for b in ids[:k]}:
+        if cosine(*(sets[i] for i in pair)) >= 0.8:
+            x, y = map(find, pair)
+            parent[max(x, y)] = min(x, y)
+    empty = [i for i, s in sets.items() if not s]
+    want = {i: min(empty) if i in empty else find(i) for i in sets}
+    got = least_of_groups(simhash.near_copies(spark.createDataFrame(rows)).collect())
+    assert len({i for i in want if want[i] != i}) > 50 and [i for i in want if want[i] != got[i]] == []
+
+
+def test_repeated_and_null_ids_lose_no_text(spark):
+    import corpus_pipeline as P
+
+    A, B, C, D, E = (prose(700 + i, 90) for i in range(5))
+    rows = [(3, A, "x"), (5, A, "x"), (5, B, "x"), (7, C, "x"), (7, D, "x"), (None, A, "x"), (None, E, "x"), (None, E, "y"), (None, E + " end", "x"), (7, D, "b"), (7, D, "a"), (9, E.replace(" ", ", "), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 5):
+        kept = P.drop_near_duplicates(spark, df.repartition(n), "").collect()
+        assert collections.Counter(map(tuple, kept)) == collections.Counter([(3, A, "x"), (5, B, "x"), (7, C, "x"), (7, D, "a"), (9, E.replace(" ", ", "), "x")])
+    lone = df.where("doc_id is null").select("doc_id", "text", "source")
+    assert P.drop_near_duplicates(spark, lone, "").count() == 2
 
 
 def test_quality(spark, docs, none, rows):
