@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, mixing, pieces, secrets, simhash
-from lodestar.llm.common import materialize, read_table
+from lodestar.llm.common import drop_tables, materialize, read_table, table_mark
 from lodestar.llm.queries import tokenizer_file, tokenizer_pattern
 
 #: A text whose cosine with the nearest language prototype is below this is no text in a known language.
@@ -33,13 +33,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id; rows without an id are kept."""
-    groups = materialize(simhash.near_copies(docs.select("doc_id", "text"), width=5, similarity=0.8), "groups")
-    first = groups.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if not first.where("count > 1").isEmpty():  # repeated rows: the join has them together already
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keep one document of each group of near-duplicates (five-word shingles, similarity 0.8): that with the smallest id, rows without an id last.
+
+    Groups are of texts, not of ids: different texts that share an id, or have none, are judged each for
+    itself. Of rows that are alike in id and text, the first by all their columns stays.
+    """
+    groups = simhash.near_copies(docs.select("doc_id", "text"), width=5, similarity=0.8)
+    keys = groups.groupBy("group", "doc_id", "text_key").count()
+    first = keys.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_key", "count"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x"))
+    first = materialize(first.select(F.col("x.doc_id").alias("_first_id"), F.col("x.text_key").alias("_first_key"), F.col("x.count").alias("_first_n")), "firsts")
+    keyed = docs.select("*", simhash.text_key().alias("_first_at"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_first_at") == F.col("_first_key")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = kept.where("_first_n = 1").select(*own)
+    if first.where("_first_n > 1").isEmpty():
+        return single
+    whole = F.struct(*own)
+    one = kept.where("_first_n > 1").groupBy("_first_id", "_first_key").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return single.unionByName(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage read and wrote on its way goes once its result is written."""
+    docs, mark = read_table(spark, sf_dir, "documents"), table_mark()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, mark, keep=1)
     return docs
