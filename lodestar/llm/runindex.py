@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +13,10 @@ from .common import materialize
 
 #: Bytes of the anchors that stand for windows, text positions handled at once, and bytes indexed together.
 GRAM, STEP, BLOCK = 40, 1 << 22, 1 << 18
-#: Contexts of one anchor that are indexed in one task; anchors with more go by the digest of every window.
-MOST_CONTEXTS = 20_000
+#: Contexts of one group that are indexed together in one task; larger groups are dealt anew by more of the bytes their windows share.
+TOGETHER = 512
+#: Windows of one piece when contexts are dealt anew, and when pieces are: at last a piece is one window.
+PIECE = 20
 #: Bits of the maps that spare shuffling rows without a partner (16 MB when all are in use).
 MAP_BITS = 1 << 27
 
@@ -34,8 +35,8 @@ def gram_hashes(b: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """(first window, last window, anchor hash, context digest) for runs of windows of ``length`` bytes that share an anchor.
+def anchors(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """(first window, last window, place of the anchor, its hash, context digest) for runs of windows of ``length`` bytes that share an anchor.
 
     A window's anchor is its gram with the least hash, the leftmost of equals, so equal windows have
     equal anchors at equal places. The context of an anchor is all the bytes of its windows.
@@ -57,7 +58,17 @@ def anchors(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         last = np.concatenate((first[1:], [len(least)])) - 1
         at = (least[first] & low).astype(np.int64)
         digest = xxhash.xxh3_64_intdigest
-        yield first + base, last + base, h[at], [digest(text[base + i : base + j + length], base_seed) for i, j, base_seed in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True)]
+        yield first + base, last + base, at + base, h[at], [digest(text[base + i : base + j + length], seed) for i, j, seed in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True)]
+
+
+def place(first, last, at):
+    """A run of windows and its anchor as one number: fewer than 256 windows share an anchor."""
+    return first << 16 | (last - first) << 8 | (at - first)
+
+
+def windows_at(w: int) -> tuple[int, int, int]:
+    """First window, last window and anchor of a ``place``."""
+    return w >> 16, (w >> 16) + (w >> 8 & 255), (w >> 16) + (w & 255)
 
 
 def _anchor_rows(length: int):
@@ -65,11 +76,11 @@ def _anchor_rows(length: int):
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), batch.column(2)
             for k in range(0, batch.num_rows, 64):
-                rows = [(i, *x) for i in range(k, min(k + 64, batch.num_rows)) for x in anchors(texts[i].as_py() or b"", length)]
+                rows = [(i, place(*x[:3]), *x[3:]) for i in range(k, min(k + 64, batch.num_rows)) for x in anchors(texts[i].as_py() or b"", length)]
                 if rows:
                     take = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
                     join = lambda c, kind: pa.array(np.concatenate([np.asarray(r[c], kind) for r in rows]).view(np.int64))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), join(1, np.int64), join(2, np.int64), join(3, np.uint64), join(4, np.uint64)], ["doc_id", "dk", "lo", "hi", "h", "c"])
+                    yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), join(1, np.int64), join(2, np.uint64), join(3, np.uint64)], ["doc_id", "dk", "w", "h", "c"])
 
     return run
 
@@ -77,121 +88,166 @@ def _anchor_rows(length: int):
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of some texts, with text positions sampled at both ends of every run.
 
-    Suffixes are ordered by their first 224 bytes (doubled from 7), enough to bring together all that
-    share a window of up to 224.
+    Suffixes are ordered by their first 224 bytes or more (doubled from 7), enough to bring together all that
+    share a window of up to 224. What is kept are the runs: symbol and length of each, and at every seam
+    between two the neighbouring text positions with what they have in common.
     """
 
     def __init__(self, texts: list[bytes]) -> None:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        n = int(sizes.sum())
+        n = self.size = int(sizes.sum())
         data = np.frombuffer(b"".join(texts), np.uint8)
         self.starts = np.cumsum(sizes) - sizes
         left = np.repeat(self.starts + sizes, sizes) - np.arange(n)  # bytes to the end of the own text
-        key = np.zeros(n, np.int64)
+        key = np.zeros(n, np.int64)  # seven symbols of nine bits; nothing after the end of a text
         for k in range(7):
-            key[: n - k] = (key[: n - k] << 9) | np.where(left[: n - k] > k, data[k:].astype(np.int64) + 1, 0)
-            key[n - k :] <<= 9
-        self.levels = []
-        depth = 7
-        while True:
-            order = np.argsort(key, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([1], key[order[1:]] != key[order[:-1]]))) if n else 0
-            self.levels.append((depth, rank))
-            if depth >= 224:
-                break
-            key = rank * np.int64(n + 1)
-            key[: n - depth if n > depth else 0] += np.where(left[: max(n - depth, 0)] > depth, rank[depth:], 0)
-            depth *= 2
-        self.left, self.data = left, data
-        before = np.where(np.concatenate(([True], np.repeat(np.arange(len(texts)), sizes)[1:] != np.repeat(np.arange(len(texts)), sizes)[:-1])), 0, np.concatenate(([0], data[:-1].astype(np.int64) + 1))) if n else np.zeros(0, np.int64)
+            key <<= 9
+            key[: max(0, n - k)] |= np.where(left[: max(0, n - k)] > k, data[k:].astype(np.int64) + 1, 0)
+        order = self._order(key, left, n)
+        before = np.concatenate(([0], data[:-1].astype(np.int64) + 1))[:n]
+        before[self.starts[sizes > 0]] = 0
         bwt = before[order]
         # A text's first byte has nothing before it: such a row is a run of its own.
-        cut = np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0))) if n else np.zeros(0, bool)
-        heads = np.flatnonzero(cut)
-        self.run_symbols = bwt[heads]
-        #: Neighbouring text positions at every seam between runs: all that matching needs to keep.
+        heads = np.flatnonzero(np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)))[:n])
+        self.run_symbols, self.run_lengths = bwt[heads], np.diff(heads, append=n)
         self.upper, self.lower = order[heads[1:] - 1], order[heads[1:]]
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at pairs of positions, each within its text."""
-        total = np.zeros(len(a), np.int64)
-        room = np.minimum(self.left[a], self.left[b])
-        for depth, rank in reversed(self.levels):
-            for _ in range(2 if depth == self.levels[-1][0] else 1):
-                fits = np.flatnonzero(room - total >= depth)
-                same = fits[rank[a[fits] + total[fits]] == rank[b[fits] + total[fits]]]
-                total[same] += depth
-        for _ in range(6):
-            fits = np.flatnonzero(room > total)
-            same = fits[self.data[a[fits] + total[fits]] == self.data[b[fits] + total[fits]]]
-            if not len(same):
-                break
-            hit = np.zeros(len(a), bool)
-            hit[same] = True
-            room = np.where(hit, room, total)
-            total[same] += 1
-        return total
+        self.common = self._common(self.upper, self.lower, key, left)
+
+    @staticmethod
+    def _order(key: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+        """Suffixes in order of their first 224 symbols. After the first sort only ties are sorted on, by the ranks of what follows."""
+        order = np.argsort(key, kind="stable")
+        fresh = np.concatenate(([True], np.diff(key[order]) != 0))[:n]
+        heads = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        rank = np.empty(n, np.int64)
+        rank[order] = heads
+        depth, slots = 7, np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))[:n]))
+        while depth < 224 and len(slots):
+            tied = order[slots]
+            after = np.where(left[tied] > depth, rank[np.minimum(tied + depth, n - 1)] + 1, 0)
+            sub = np.argsort(rank[tied] * np.int64(n + 1) + after, kind="stable")
+            tied, after = tied[sub], after[sub]
+            old = rank[tied]
+            fresh = np.concatenate(([True], (np.diff(old) != 0) | (np.diff(after) != 0)))
+            order[slots] = tied
+            rank[tied] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+            slots = slots[~(fresh & np.concatenate((fresh[1:], [True])))]
+            depth *= 2
+        return order
+
+    @staticmethod
+    def _common(a: np.ndarray, b: np.ndarray, key: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at pairs of positions, each within its text: seven symbols a step."""
+        total, room = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
+        going = np.arange(len(a))
+        while len(going):
+            at = total[going]
+            differ = key[a[going] + at] ^ key[b[going] + at]
+            total[going] += sum((differ < 1 << 9 * k).astype(np.int64) for k in range(7))
+            going = going[(differ == 0) & (total[going] < room[going])]
+        return np.minimum(total, room)
 
     def matching_statistics(self) -> np.ndarray:
         """Longest match of every position with any other position of the texts.
 
         Within a run, neighbours in suffix order continue a match that began one byte earlier, so
-        matches are looked up at the seams only and streamed from left to right, one byte shorter a step.
+        matches are known at the seams and streamed from left to right, one byte shorter a step.
         """
-        longest = np.zeros(len(self.data), np.int64)
-        size = self.common(self.upper, self.lower)
-        np.maximum.at(longest, self.upper, size)
-        np.maximum.at(longest, self.lower, size)
+        longest = np.zeros(self.size, np.int64)
+        np.maximum.at(longest, self.upper, self.common)
+        np.maximum.at(longest, self.lower, self.common)
         # max over earlier j of longest[j] - (i - j); a match never passes the end of its text
-        place = np.arange(len(longest))
-        return np.maximum(np.maximum.accumulate(longest + place) - place, 0)
+        step = np.arange(self.size)
+        return np.maximum(np.maximum.accumulate(longest + step) - step, 0)
 
 
 def _index_rows(length: int):
+    """Rows ``(g, c, side, ctx)``, groups together, to ``(g, c, from, to)``: the windows of each context that another one of its block holds as well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             index = RunIndex([r[3] for r in rows])
-            long = index.matching_statistics() >= length
+            long = (index.matching_statistics() >= length).view(np.int8)
             out = [[], [], [], []]
-            for (h, c, m, ctx), at in zip(rows, index.starts.tolist(), strict=True):
-                n = len(ctx) - length + 1
-                hit = np.ones(n, bool) if m > 1 else long[at : at + n]
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for column, x in zip(out, (h, c, a, b - 1), strict=True):
+            for (g, c, _, ctx), at in zip(rows, index.starts.tolist(), strict=True):
+                edge = np.flatnonzero(np.diff(long[at : at + len(ctx) - length + 1], prepend=np.int8(0), append=np.int8(0)))
+                for a, b in edge.reshape(-1, 2).tolist():
+                    for column, x in zip(out, (g, c, a, b - 1), strict=True):
                         column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["h", "c", "from", "to"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["g", "c", "from", "to"])
 
-        rows, size, last = [], 0, None
+        rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= BLOCK and row[0] != last:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size, last = size + len(row[3]), row[0]
+            for k in range(0, batch.num_rows, 1024):
+                for row in zip(*(x.to_pylist() for x in batch.slice(k, 1024).columns), strict=True):
+                    if size >= BLOCK and row[0] != rows[-1][0]:
+                        yield solve(rows)
+                        rows, size = [], 0
+                    rows.append(row)
+                    size += len(row[3])
         if rows:
             yield solve(rows)
 
     return run
 
 
-def _contexts(length: int, windows: bool):
-    """Cut contexts out of texts; with ``windows`` a digest of each window instead of the bytes."""
+def _contexts(length: int, piece: int):
+    """Cut wanted contexts out of texts, to ``(h, c, off, g, c2, side, ctx)``: whole (``piece`` 0), or by ``piece`` windows with the same distances to the anchor.
+
+    All windows of a piece hold the ``length - piece + 1`` bytes that give its group ``g``, so equal windows
+    are in pieces of one group. ``off`` is the piece's first window, counted from the context's.
+    """
+    import xxhash
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                out = [[], [], [], []]
-                for text, wanted in zip(batch.column(0).slice(k, 64).to_pylist(), batch.column(1).slice(k, 64).to_pylist(), strict=True):
-                    for w in wanted:
-                        a, b = w["lo"], w["hi"] + length
-                        cuts = [(i - a, hashlib.md5(text[i : i + length]).digest()) for i in range(a, b - length + 1)] if windows else [(w["m"], text[a:b])]
-                        for m, x in cuts:
-                            for column, y in zip(out, (w["h"], w["c"], m, x), strict=True):
+            for k in range(0, batch.num_rows, 16):
+                out = [[] for _ in range(7)]
+                for doc, dk, text, wanted in zip(*(c.slice(k, 16).to_pylist() for c in batch.columns), strict=True):
+                    if (doc, dk) == last:  # a repeated row, next to its like
+                        continue
+                    last = (doc, dk)
+                    for x in wanted:
+                        lo, hi, at = windows_at(x["w"])
+                        if piece:
+                            parts = []
+                            for p in range((at - hi) // piece, (at - lo) // piece + 1):
+                                a, b = max(lo, at - piece * p - piece + 1), min(hi, at - piece * p)
+                                core = text[at - piece * p : at - piece * p - piece + 1 + length]
+                                ctx = text[a : b + length]
+                                parts.append((a - lo, signed(xxhash.xxh3_64_intdigest(core, p)), signed(xxhash.xxh3_64_intdigest(ctx, at - a)), ctx))
+                        else:
+                            parts = [(0, x["h"], x["c"], text[lo : hi + length])]
+                        for off, g, c2, ctx in parts:
+                            for column, y in zip(out, (x["h"], x["c"], off, g, c2, x["side"], ctx), strict=True):
                                 column.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary())], ["h", "c", "m", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(out[5], pa.int32()), pa.array(out[6], pa.binary())], ["h", "c", "off", "g", "c2", "side", "ctx"])
+
+    return run
+
+
+_PIECES = "h long, c long, off long, g long, c2 long, side int, ctx binary"
+
+
+def _single_windows(length: int):
+    """Pieces cut on to windows of their own, each in the group of its digest."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                out = [[] for _ in range(7)]
+                for h, c, off, _, _, side, ctx in zip(*(x.to_pylist() for x in batch.slice(k, 256).columns), strict=True):
+                    for i in range(len(ctx) - length + 1):
+                        window = ctx[i : i + length]
+                        g, c2 = np.frombuffer(xxhash.xxh3_128_digest(window), np.int64).tolist()
+                        for column, y in zip(out, (h, c, off + i, g, c2, side, window), strict=True):
+                            column.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(out[5], pa.int32()), pa.array(out[6], pa.binary())], ["h", "c", "off", "g", "c2", "side", "ctx"])
 
     return run
 
@@ -210,44 +266,67 @@ def _perhaps(rows: DataFrame, bits: DataFrame, *cols: str) -> DataFrame:
     return found.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))) != 0).drop("_piece", "_bits")
 
 
+def _indexed(rows: DataFrame, length: int) -> DataFrame:
+    """``(g, c, side, ctx)`` through run-length indexes, whole groups to a task."""
+    dealt = rows.repartition("g").sortWithinPartitions("g", "c", "side").dropDuplicates(["g", "c", "side"])
+    return dealt.sortWithinPartitions("g", "c", "side").mapInArrow(_index_rows(length), "g long, c long, from long, to long")
+
+
+def _dealt_anew(pieces: DataFrame, length: int, further: bool) -> DataFrame:
+    """``(h, c, off, g, c2, side, ctx)`` to ``(h, c, from, to)``. Pieces that are alike go to the index twice, as a repeat there is one there as well; groups of one piece go."""
+    pieces = materialize(pieces, "pieces")
+    one = pieces.groupBy("g", "c2").agg(F.count("*").alias("n"))
+    groups = materialize(one.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("n > 1"), "groups")
+    small = groups.where(F.col("k") <= TOGETHER).select("g") if further else groups.select("g")
+    at = F.struct("h", "c", "off", "side")
+    both = pieces.join(small, "g").groupBy("g", "c2").agg(F.min(F.struct(at, "ctx")).alias("a"), F.max(F.struct(at, "ctx")).alias("b"), F.count("*").alias("n"))
+    rows = both.select("g", F.col("c2").alias("c"), F.posexplode(F.when(F.col("n") > 1, F.array("a.ctx", "b.ctx")).otherwise(F.array("a.ctx"))).alias("side", "ctx"))
+    found = _indexed(rows, length).distinct().withColumnRenamed("c", "c2")
+    out = pieces.select("h", "c", "off", "g", "c2").join(found, ["g", "c2"]).select("h", "c", (F.col("off") + F.col("from")).alias("from"), (F.col("off") + F.col("to")).alias("to"))
+    if further:
+        large = groups.where(F.col("k") > TOGETHER).select("g")
+        if not large.isEmpty():
+            finer = pieces.join(large, "g", "left_semi").select("h", "c", "off", "g", "c2", "side", "ctx").mapInArrow(_single_windows(length), _PIECES)
+            out = out.unionByName(_dealt_anew(finer, length, False))
+    return out
+
+
 def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     """``(doc_id, dk, text as bytes)`` to ``(doc_id, dk, a, b)``: byte ranges covered by windows that also start elsewhere.
 
     1. Windows are grouped by their anchors: one narrow row per run of windows, about one for 80 bytes.
     2. Anchors are counted, before and after the shuffle; those seen once hold no repeat and go.
-    3. Contexts of an anchor that are all alike are repeated throughout. The others are read once
-       per distinct context, dealt by anchor, and indexed; matching statistics mark the windows
-       that another context holds as well.
-    Joins on frequent anchors are left to adaptive skew splitting; copies are combined before any
-    context is read, and anchors with more than ``MOST_CONTEXTS`` distinct contexts are decided by
-    window digests, spread over all tasks.
+    3. The distinct contexts of every other anchor are read and indexed together; of a context found more
+       than once the last is read as well as the first, so the index finds that repeat too. Matching
+       statistics mark the windows that another context holds.
+    4. Anchors with more than ``TOGETHER`` contexts are cut into pieces of ``PIECE`` windows, grouped by the bytes
+       that all windows of a piece share, and groups that are still that large into single windows. These
+       go through the index like any other, so no task has an anchor of unbounded size to itself, and what is found is the same.
+
+    Contexts are told apart by anchor hash and digest, 128 bits. Joins on frequent anchors are left to adaptive skew splitting.
     """
-    rows = materialize(docs.mapInArrow(_anchor_rows(length), "doc_id long, dk int, lo long, hi long, h long, c long"), "anchors")
-    seen = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    seen = materialize(seen.select("h", (F.col("c0") == F.col("c1")).alias("alike")), "seen")
+    rows = materialize(docs.mapInArrow(_anchor_rows(length), "doc_id long, dk binary, w long, h long, c long"), "anchors")
+    seen = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seen")
     again = materialize(_perhaps(rows, _map(seen, "h"), "h").join(seen, "h"), "again")
-    alike = again.where("alike").select("doc_id", "dk", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    mixed = again.where("not alike")
-    contexts = mixed.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "dk", "lo", "hi")).alias("at"))
-    contexts = materialize(contexts.select("h", "c", "m", "at.*"), "contexts")
-    large = materialize(contexts.groupBy("h").count().where(F.col("count") > MOST_CONTEXTS).select("h"), "large")
-
-    def cut(wanted: DataFrame, windows: bool) -> DataFrame:
-        per_doc = wanted.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("h", "c", "m", "lo", "hi")).alias("wanted"))
+    row = F.struct("doc_id", "dk", "w")
+    contexts = again.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(row).alias("first"), F.max(row).alias("last"))
+    sides = F.when(F.col("m") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    contexts = materialize(contexts.select("h", "c", F.posexplode(sides).alias("side", "x")).select("h", "c", "side", "x.*"), "contexts")
+    large = materialize(contexts.groupBy("h").count().where(F.col("count") > TOGETHER).select("h"), "large")
+
+    def cut(wanted: DataFrame, piece: int) -> DataFrame:
+        per_doc = wanted.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("h", "c", "side", "w")).alias("wanted"))
         texts = _perhaps(docs, _map(wanted, "doc_id", "dk"), "doc_id", "dk")
-        # Rows alike in id and digest are copies of one row: any of them will do, and the index takes doubles out.
         joined = texts.join(per_doc.withColumnsRenamed({"doc_id": "_i", "dk": "_k"}), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("dk") == F.col("_k")))
-        return joined.select("text", "wanted").mapInArrow(_contexts(length, windows), "h long, c long, m long, ctx binary")
+        return joined.select("doc_id", "dk", "text", "wanted").mapInArrow(_contexts(length, piece), _PIECES)
 
-    dealt = cut(contexts.join(large, "h", "left_anti"), False).repartition("h").sortWithinPartitions("h", "c").dropDuplicates(["h", "c"])
-    found = dealt.sortWithinPartitions("h", "c").mapInArrow(_index_rows(length), "h long, c long, from long, to long")
+    whole = cut(contexts.join(large, "h", "left_anti"), 0).select("g", "c", "side", "ctx")
+    found = _indexed(whole, length).withColumnRenamed("g", "h")
     if not large.isEmpty():
-        pieces = materialize(cut(contexts.join(large, "h", "left_semi"), True).distinct(), "windows")
-        twice = pieces.groupBy("h", "ctx").count().where(F.col("count") > 1).select("h", "ctx")
-        whole = contexts.join(large, "h", "left_semi").where("m > 1").select("h", "c", F.lit(0).cast("long").alias("from"), (F.col("hi") - F.col("lo")).alias("to"))
-        found = found.unionByName(pieces.join(twice, ["h", "ctx"]).select("h", "c", F.col("m").alias("from"), F.col("m").alias("to"))).unionByName(whole)
-    part = mixed.join(found, ["h", "c"]).select("doc_id", "dk", (F.col("lo") + F.col("from")).alias("a"), (F.col("lo") + F.col("to") + length).alias("b"))
-    return alike.unionByName(part)
+        found = found.unionByName(_dealt_anew(cut(contexts.join(large, "h", "left_semi"), PIECE), length, True))
+    found = found.groupBy("h", "c").agg(F.collect_set(F.struct("from", "to")).alias("hits"))
+    part = again.join(found, ["h", "c"]).select("doc_id", "dk", F.shiftright("w", 16).alias("lo"), F.explode("hits").alias("x"))
+    return part.select("doc_id", "dk", (F.col("lo") + F.col("x.from")).alias("a"), (F.col("lo") + F.col("x.to") + length).alias("b"))
 
 
 def _cut_out(text: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -284,9 +363,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     Each byte covered by a string of ``length`` bytes (40 to 224) that starts at another place too, in
     the same text or another, is removed; all are judged on the input. Matches never cross texts.
     ``spans`` are the maximal removed byte ranges, ``kept`` the remaining bytes (which need not be
-    UTF-8). Null text is empty; a repeated row is a repeat; texts shorter than ``length`` stay.
+    UTF-8). Rows are told apart by id and MD5 of the text, so different texts of one id, or of none, are
+    judged each for itself. Null text is empty; a repeated row is a repeat; texts shorter than ``length`` stay.
     """
-    d = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("dk"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    d = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("dk"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     ranges = materialize(repeated_ranges(d, length), "ranges")
     hit = _map(ranges, "doc_id", "dk")
     slot = F.pmod(F.xxhash64("doc_id", "dk"), F.lit(MAP_BITS))

@@ -364,17 +364,22 @@ def test_run_index_brute_force(docs, none, rows):
     assert runindex.remove_repeats(none).count() == 0
 
 
-def test_run_index_without_index_for_frequent_anchors(spark, monkeypatch):
-    monkeypatch.setattr(runindex, "MOST_CONTEXTS", 1)
+@pytest.mark.parametrize("limits", [(512, 20), (3, 20), (1, 7)])
+def test_run_index_deals_frequent_anchors_anew(spark, monkeypatch, limits):
+    """Contexts of one passage in many surroundings, whole, in pieces and as single windows; ids that repeat or are null."""
+    monkeypatch.setattr(runindex, "TOGETHER", limits[0])
+    monkeypatch.setattr(runindex, "PIECE", limits[1])
     common = prose(7, 60)[:260]
-    texts = [(i, prose(100 + i, 30) + common[: 180 + 10 * i] + prose(200 + i, 30)) for i in range(8)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    starts = collections.Counter(t.encode()[k : k + 200] for _, t in texts for k in range(len(t.encode()) - 199))
-    want = {}
+    texts = [(i, prose(100 + i, 30) + common[: 180 + 10 * (i % 9)] + prose(200 + i, 30)) for i in range(24)]
+    texts += [(None, prose(300, 40) + common), (None, prose(301, 60)), (3, prose(302, 60) + common), (None, prose(301, 60)), (3, None), (3, common)]
+    starts = collections.Counter(t.encode()[k : k + 200] for _, t in texts if t for k in range(len(t.encode()) - 199))
+    want = collections.Counter()
     for i, t in texts:
-        b = t.encode()
-        want[i] = len({j for k in range(len(b) - 199) if starts[b[k : k + 200]] > 1 for j in range(k, k + 200)})
-    assert {r["doc_id"]: r["n_removed"] for r in runindex.remove_repeats(df).collect()} == want
+        b = (t or "").encode()
+        gone = {j for k in range(len(b) - 199) if starts[b[k : k + 200]] > 1 for j in range(k, k + 200)}
+        want[i, len(gone), hashlib.sha256(bytes(x for j, x in enumerate(b) if j not in gone)).hexdigest()] += 1
+    got = runindex.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == want
 
 
 def test_matching_statistics():
@@ -392,7 +397,8 @@ def test_matching_statistics():
                     n += 1
                 best = max(best, n)
         assert got[k] == best
-    assert len(index.run_symbols) < len(flat)
+    assert len(index.run_symbols) < len(flat) == index.run_lengths.sum()
+    assert list(runindex.RunIndex([b"", b""]).matching_statistics()) == []
 
 
 def test_secrets(spark, none):
@@ -522,7 +528,7 @@ def test_pipeline_edges(spark, docs, none):
     for _, stage in P.STAGES:
         assert stage(spark, none.withColumn("n_chars", F.lit(0).cast("long")), "").count() == 0
     names = ("Score", "cosine", "lang_pred", "held_out", "size", "target", "times", "copy", "count", "fp", "component_id", "spans", "a.b")
-    df = docs.select("*", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names])
+    df = docs.unionByName(spark.createDataFrame([(None, prose(77, 70), "s1", "en")], DOCS)).select("*", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names])
     want, at = df.columns, df
     for name, stage in P.STAGES[:-1]:
         at = stage(spark, at, "").persist()
