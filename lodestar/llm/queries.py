@@ -38,7 +38,7 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "component")
+    return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "component", "decided")
 
 
 def op4_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

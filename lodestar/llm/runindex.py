@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_tables, materialize, table_mark
 
 #: Bytes of the anchors that stand for windows, text positions handled at once, and bytes indexed together.
 GRAM, STEP, BLOCK = 40, 1 << 22, 1 << 18
@@ -305,9 +305,12 @@ def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
 
     Contexts are told apart by anchor hash and digest, 128 bits. Joins on frequent anchors are left to adaptive skew splitting.
     """
+    spark, mark = docs.sparkSession, table_mark()
     rows = materialize(docs.mapInArrow(_anchor_rows(length), "doc_id long, dk binary, w long, h long, c long"), "anchors")
     seen = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "seen")
     again = materialize(_perhaps(rows, _map(seen, "h"), "h").join(seen, "h"), "again")
+    drop_tables(spark, mark, keep=1)
+    mark = table_mark()
     row = F.struct("doc_id", "dk", "w")
     contexts = again.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(row).alias("first"), F.max(row).alias("last"))
     sides = F.when(F.col("m") > 1, F.array("first", "last")).otherwise(F.array("first"))
@@ -324,7 +327,9 @@ def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     found = _indexed(whole, length).withColumnRenamed("g", "h")
     if not large.isEmpty():
         found = found.unionByName(_dealt_anew(cut(contexts.join(large, "h", "left_semi"), PIECE), length, True))
-    found = found.groupBy("h", "c").agg(F.collect_set(F.struct("from", "to")).alias("hits"))
+    # Written down, so that the join is one of two plain shuffles, whose frequent keys can be split.
+    found = materialize(found.groupBy("h", "c").agg(F.collect_set(F.struct("from", "to")).alias("hits")), "found")
+    drop_tables(spark, mark, keep=1)
     part = again.join(found, ["h", "c"]).select("doc_id", "dk", F.shiftright("w", 16).alias("lo"), F.explode("hits").alias("x"))
     return part.select("doc_id", "dk", (F.col("lo") + F.col("x.from")).alias("a"), (F.col("lo") + F.col("x.to") + length).alias("b"))
 
@@ -367,7 +372,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     judged each for itself. Null text is empty; a repeated row is a repeat; texts shorter than ``length`` stay.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("dk"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    ranges = materialize(repeated_ranges(d, length), "ranges")
+    mark = table_mark()
+    ranges = materialize(repeated_ranges(d, length).distinct(), "ranges")
+    drop_tables(docs.sparkSession, mark, keep=1)
     hit = _map(ranges, "doc_id", "dk")
     slot = F.pmod(F.xxhash64("doc_id", "dk"), F.lit(MAP_BITS))
     byte = F.conv(F.hex(F.substring("_bits", ((slot % 32768) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
