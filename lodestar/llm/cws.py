@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import words
 
 #: Samples of a signature: the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
-SAMPLES = 16
-
-
-def _uniforms(term: Column, j: int) -> tuple[Column, Column]:
-    """Two numbers strictly between 0 and 1 drawn by hash."""
-    h = F.xxhash64(term, F.lit(j))
-    part = lambda x: (x.cast("double") + 0.5) * F.lit(2.0**-32)
-    return part(h.bitwiseAND(F.lit(0xFFFFFFFF))), part(F.shiftrightunsigned(h, 32))
+SAMPLES = 32
+#: Ranges of text digests that one block number leaves room for.
+SUBS = 1 << 20
 
 
 def samples(term: Column, log_weights: list[Column], j: int) -> list[Column]:
@@ -23,18 +20,18 @@ def samples(term: Column, log_weights: list[Column], j: int) -> list[Column]:
 
     With r, c from Gamma(2, 1) and b uniform, all drawn from the term and j alone,
     t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). The high bits hold ln a in fixed point,
-    the low 21 a hash of term and t, so two documents have one sample exactly where term and t agree,
+    the low 21 bits of the term's draw and t, so two documents have one sample exactly where term and t agree,
     with probability equal to the generalised Jaccard similarity of their weights.
     """
-    u, v = _uniforms(term, 3 * j)
-    x, y = _uniforms(term, 3 * j + 1)
-    b, _ = _uniforms(term, 3 * j + 2)
-    r, log_c = -F.log(u * v), F.log(-F.log(x * y))
+    first, second = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
+    part = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * F.lit(2.0**-bits)  # noqa: E731  strictly between 0 and 1
+    b = part(first, 0, 20)
+    r, log_c = -F.log(part(first, 20, 22) * part(first, 42, 22)), F.log(-F.log(part(second, 0, 32) * part(second, 32, 32)))
     out = []
     for lw in log_weights:
         t = F.floor(lw / r + b)
         high = F.floor((log_c - r * (t - b + 1) + 100) * F.lit(2.0**35)).cast("long")
-        out.append(F.shiftleft(high, 21).bitwiseOR(F.xxhash64(term, t, F.lit(j)).bitwiseAND(F.lit(0x1FFFFF))))
+        out.append(F.shiftleft(high, 21).bitwiseOR(first.bitwiseXOR(t).bitwiseAND(F.lit(0x1FFFFF))))
     return out
 
 
@@ -49,28 +46,42 @@ def fingerprint(signature: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """Rows with ``block``, a range of ids, and ``guest`` 1 on the copy of each block's highest document that the block above takes in.
+    """Rows with ``digest``, ``block``, a range of ids, and ``guest`` 1 on the copy of each block's first document that the block before takes in.
 
-    Quantiles of the ids set the ranges; the heads are one row per block, which bounds what is broadcast.
+    Blocks are numbered upwards by id; the order of documents goes down, by digest within an id, null ids last.
+    Quantiles of the ids set the ranges. An id with more rows than two blocks should have, null among
+    them, has ranges of digests of its own; there are at most half as many of those as blocks.
     """
+    digest = F.conv(F.substring(F.md5("text"), 1, 13), 16, 10).cast("long")  # 52 bits
+    docs = docs.withColumn("digest", digest)
+    counts = docs.groupBy("doc_id").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    heavy = {r["doc_id"]: r["count"] for r in counts.where(F.col("count") * blocks > 2 * total).collect()} if blocks > 1 else {}
     cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [k / blocks for k in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    alone = [i - k for i in heavy if i is not None for k in (0, 1)]  # an id between two cuts has a range to itself
+    cuts = sorted({max(-(1 << 63), int(c)) for c in [*cuts, *alone]})
+    place = F.lit(0)
     if cuts:
-        table = F.array(*[F.lit(c).cast("long") for c in cuts])
+        table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # one literal, however many cuts
         rounds = len(cuts).bit_length() + 1
         half = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(table, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < F.col("doc_id"), F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
         place = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), half)["lo"]
-        block = F.when(F.col("doc_id").isNull(), -1).otherwise(place)
-    else:
-        block = F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.max("doc_id").alias("head"))
+    parts = lambda i: min(SUBS, math.ceil(heavy[i] * blocks / total)) if i in heavy else 1
+    share = F.when(F.col("doc_id").isNull(), parts(None))
+    for i in heavy:
+        if i is not None:
+            share = share.when(F.col("doc_id") == i, parts(i))
+    share = share.otherwise(1)
+    sub = share - 1 - F.floor(F.col("digest") * share / float(1 << 52)).cast("long")
+    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place).cast("long") * SUBS + sub
+    rows = docs.withColumn("block", block)
+    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("down"), "digest")).alias("x"))
     order = Window.orderBy("block")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.col("block").alias("b"), "head", F.coalesce(F.lead("block").over(order), F.first("block").over(every)).alias("to"))
-    rows = docs.withColumn("block", block)
-    rows = rows.join(F.broadcast(heads), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    heads = heads.select(F.col("block").alias("b"), F.when(~F.col("x.none"), (-F.col("x.down")).cast("long")).alias("head"), F.col("x.digest").alias("first"), F.coalesce(F.lead("block").over(order), F.first("block").over(every)).alias("to"))
+    rows = rows.join(F.broadcast(heads), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("digest") == F.col("first")), "left")
     both = F.array(F.struct("block", F.lit(0).alias("guest")), F.struct(F.col("to").alias("block"), F.lit(1).alias("guest")))
-    return rows.select("doc_id", "text", F.explode(F.filter(both, lambda x: x["block"].isNotNull())).alias("x")).select("doc_id", "text", "x.block", "x.guest")
+    return rows.select("doc_id", "text", "digest", F.explode(F.filter(both, lambda x: x["block"].isNotNull())).alias("x")).select("doc_id", "text", "digest", "x.block", "x.guest")
 
 
 def fingerprint_edits(docs: DataFrame, blocks: int, k: int = SAMPLES) -> DataFrame:
@@ -78,8 +89,8 @@ def fingerprint_edits(docs: DataFrame, blocks: int, k: int = SAMPLES) -> DataFra
 
     Weighted terms are a text's words with their counts. The edited text has its last floor(n/2)
     code points replaced by as many first ones of the next document by descending id; the smallest
-    id is followed by the largest. Null text is empty; rows with one id follow in the order of their
-    texts; null ids come last.
+    id is followed by the largest. Null text is empty; rows with one id follow in the order of the MD5 digests of
+    their texts; null ids come last.
 
     Text is shuffled once, to blocks of neighbouring ids; a copy of each block's first document in
     the block before closes the seams. Counting, sampling and comparing keep that partitioning.
@@ -87,7 +98,7 @@ def fingerprint_edits(docs: DataFrame, blocks: int, k: int = SAMPLES) -> DataFra
     a few longs.
     """
     d = _blocks(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), blocks)
-    near = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    near = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "digest", "text")
     d = d.repartition("block").withColumns({"rn": F.row_number().over(near).cast("long"), "next": F.coalesce(F.lead("text").over(near), F.lit(""))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,55 +13,80 @@ from pyspark.sql import functions as F
 
 from .common import with_columns_replaced
 
-#: Dimensions of a hypervector, letters of a gram, symbols that letters map to (0: between words).
-DIM, GRAM, SYMBOLS = 256, 3, 40
-#: Grams bound at once.
-STEP = 4096
+#: Dimensions of a hypervector, and letters of a gram.
+DIM, GRAM = 1024, 3
+#: Bound vectors of grams kept by a task (1 KB each); when there are more, it starts anew. Grams bundled at once.
+KEPT, STEP = 1 << 16, 4096
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point of the basic plane: a-z have one each, other letters share the rest, anything else is 0."""
-    table = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        if chr(cp).isalpha():
-            table[cp] = cp - 96 if 97 <= cp <= 122 else 27 + (cp * 2654435761 >> 7) % (SYMBOLS - 27)
-    return table
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 class Profiles:
-    """Text to hypervector: letters have random sign vectors, rotated by their place in a gram and multiplied; grams are added up."""
+    """Text to hypervector: every letter has a random sign vector of its own, rotated by its place in a gram and multiplied; grams are added up.
+
+    What lies between words is one symbol more. A gram is known by its code points.
+    """
 
     def __init__(self, seed: int = 7) -> None:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIM))
-        #: Letter vectors rotated for each place in a gram. Bound vectors of all grams would take 65 MB a task.
-        self.rotated = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
-        self.symbol = _symbols()
+        self.seed = seed
+        self.signs: dict[int, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.bound = np.empty((1024, DIM), np.int8)
+
+    def letter(self, cp: int) -> np.ndarray:
+        """Random signs drawn from the seed and the code point alone."""
+        if cp not in self.signs:
+            if len(self.signs) > KEPT:
+                self.signs = {}
+            self.signs[cp] = np.random.default_rng((self.seed, cp)).integers(0, 2, DIM, np.int8) * np.int8(2) - np.int8(1)
+        return self.signs[cp]
+
+    def bind(self, code: int) -> np.ndarray:
+        """The product of a gram's letter vectors, each rotated by its place."""
+        out = np.ones(DIM, np.int8)
+        for k in range(GRAM):
+            out = out * np.roll(self.letter(code >> 21 * (GRAM - 1 - k) & 0x1FFFFF), GRAM - 1 - k)
+        return out
+
+    def places(self, codes: np.ndarray) -> list[int]:
+        """Rows of ``bound`` that hold the vectors of grams; new ones are bound first."""
+        codes = codes.tolist()
+        for c in [c for c in codes if c not in self.rows]:
+            n = len(self.rows)
+            if n == len(self.bound):
+                self.bound = np.concatenate((self.bound, np.empty_like(self.bound)))
+            self.bound[n] = self.bind(c)
+            self.rows[c] = n
+        return [self.rows[c] for c in codes]
 
     def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Weighted sum of the bound vectors of grams, ``STEP`` grams at a time."""
-        v = np.zeros(DIM, weights.dtype)
+        v = np.zeros(DIM)
         for at in range(0, len(codes), STEP):
-            c = codes[at : at + STEP]
-            bound = self.rotated[2][c % SYMBOLS]
-            bound *= self.rotated[1][c // SYMBOLS % SYMBOLS]
-            bound *= self.rotated[0][c // SYMBOLS**2]
-            v += weights[at : at + STEP] @ bound
+            if len(self.rows) > KEPT:
+                self.forget()
+            places = self.places(codes[at : at + STEP])
+            v += weights[at : at + STEP].astype(np.float32) @ self.bound[places].astype(np.float32)
         return v
 
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct grams and their weights, the square roots of their counts; None without a letter."""
         cps = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        if cps.size and int(cps.max()) >= 1 << 16:
-            far = cps >= 1 << 16
-            cps = np.where(far, np.where([chr(c).isalpha() if f else False for c, f in zip(cps.tolist(), far.tolist(), strict=True)], ord("一"), 0), cps)
-        s = self.symbol[cps]
+        s = np.where(_letters()[cps], cps, 0).astype(np.int64)
         if not s.any():
             return None
         s = np.concatenate(([0], s, [0]))
-        s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int32)
-        codes = np.sort((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])
+        s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
+        codes = np.sort(s[:-2] << 42 | s[1:-1] << 21 | s[2:])
         starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        return codes[starts], np.sqrt(np.diff(starts, append=len(codes))).astype(np.float32)
+        return codes[starts], np.sqrt(np.diff(starts, append=len(codes)))
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """Unit hypervector of a text."""
@@ -81,21 +107,39 @@ def train(docs: DataFrame, seed: int = 7) -> dict[str, list[float]]:
     """``(lang, text)`` rows to a prototype per language: the sum of its documents' vectors, each scaled by its number of grams.
 
     Every row with a language and a letter counts. Tasks add up vectors before the shuffle; what
-    reaches the driver is one vector per language name.
+    reaches the driver is one vector of 8 KB per language name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles, sums = Profiles(seed), {}
+        profiles, sums, open_ = Profiles(seed), {}, {}
+
+        def flush() -> None:
+            """Bind what the grams of each language add up to, and let the grams go."""
+            for lang, w in open_.items():
+                here = np.flatnonzero(w)
+                for at in range(0, len(here), STEP):
+                    part = here[at : at + STEP]
+                    sums[lang] = sums.get(lang, 0) + w[part] @ profiles.bound[part].astype(np.float64)
+            open_.clear()
+            profiles.forget()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = profiles.grams(text)
-                if found is not None:
-                    if lang not in sums:
-                        sums[lang] = np.zeros(SYMBOLS**GRAM)
-                    # Bundling is linear: add up gram weights and bind once a task. The squared weights sum to the number of grams.
-                    sums[lang][found[0]] += found[1] / np.sqrt(float(found[1] @ found[1]))
+                if found is None:
+                    continue
+                weights = found[1] / np.sqrt(float(found[1] @ found[1]))  # the squared weights sum to the number of grams
+                for at in range(0, len(weights), STEP):
+                    # Bundling is linear: add up the weights of grams and bind once.
+                    places = profiles.places(found[0][at : at + STEP])
+                    w = open_.get(lang, np.zeros(0))
+                    if len(w) < len(profiles.bound):
+                        w = open_[lang] = np.concatenate((w, np.zeros(len(profiles.bound) - len(w))))
+                    w[places] += weights[at : at + STEP]
+                    if len(profiles.rows) > KEPT or len(open_) * len(profiles.bound) > 32 * KEPT:
+                        flush()
+        flush()
         langs = list(sums)
-        sums = {k: profiles.bundle(np.flatnonzero(w), w[w != 0]) for k, w in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([sums[x].tolist() for x in langs], pa.list_(pa.float64()))], ["lang", "v"])
 
     parts = docs.where("lang is not null").select("lang", "text").mapInArrow(run, "lang string, v array<double>")

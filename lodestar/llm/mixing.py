@@ -36,9 +36,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float =
     return t.withColumn("target", F.least("cap", F.coalesce(settled * F.col("w"), F.col("cap")))).select("source", "source_size", "target")
 
 
-def draw(*keys: Column) -> Column:
-    """A document's place between 0 and 1, as the hex digits of a digest: the same in every run."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]))
+def draw(doc_id: Column, text: Column) -> Column:
+    """A document's place between 0 and 1, as the hex digits of a digest: the same in every run. Without an id the text draws."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("|"), text), F.lit("")))
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -74,11 +74,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0)
     ``times`` is how often the mix takes the document, ``taken = times * size``. Two narrow passes over
     the text size the documents; the histograms read the narrow table.
 
-    Null text has size 0; a null source is a source of its own, last in order; null ids draw as the
-    empty string and rows with one id share a draw (both in or both out). An empty table gives no
+    Null text has size 0; a null source is a source of its own, last in order; null ids draw by
+    their text, and rows with one id share a draw (both in or both out). An empty table gives no
     rows. Input columns named like a result column are replaced.
     """
-    size, place = word_count("text"), draw(F.col("doc_id"))
+    size, place = word_count("text"), draw(F.col("doc_id"), F.col("text"))
     sized = materialize(docs.select("source", size.alias("size"), place.alias("draw")), "sized")
     goals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     plan = goals.alias("g").join(thresholds(sized, goals).alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")))

@@ -13,32 +13,37 @@ from pyspark.sql import functions as F
 #: White-space marker, and the chunks that no piece crosses: a run of markers with what follows it.
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
-
-
-def crossing_pieces(model: str) -> list[str]:
-    """Pieces of a model that hold a marker after another character. The chunk table is exact for models without any."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    return [p for p in map(sp.id_to_piece, range(sp.vocab_size())) if re.search(f"[^{MARK}]{MARK}", p)]
+#: Characters of the longest chunk kept, and bytes a kept chunk takes besides its characters.
+LONG, HELD = 64, 250
 
 
 class ChunkTable:
-    """Ids and decoded text of each distinct chunk seen, segmented once; at most ``limit`` chunks, then it starts anew."""
+    """Ids and decoded text of each distinct chunk seen, segmented once. The table keeps chunks of at most ``LONG`` characters, and starts anew beyond ``limit`` bytes.
+
+    Longer chunks, such as sentences in scripts without spaces, hardly recur; they are segmented where they stand.
+    """
 
-    def __init__(self, model: str, limit: int = 600_000) -> None:
+    def __init__(self, model: str, limit: int = 96 << 20) -> None:
         import numpy as np
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        names = list(map(self.sp.id_to_piece, range(self.sp.vocab_size())))
+        if any(MARK in p.lstrip(MARK) for p in names):
+            raise ValueError("the chunk table needs a model whose pieces cross no white-space marker")
         self.limit = limit
+        self.leads = np.array([p.startswith(MARK) for p in names])
+        self.forget()
+
+    def forget(self) -> None:
+        self.size = 0
         self.ids: dict[str, str] = {}
         #: Decoded text of the chunks that do not decode to themselves with spaces for markers.
         self.odd: dict[str, str] = {}
-        self.leads = np.array([self.sp.id_to_piece(i).startswith(MARK) for i in range(self.sp.vocab_size())])
 
     def learn(self, new: list[str]) -> None:
         """Segment new chunks. Those with one marker go to the library in one call, as words of one text, and the ids are cut where a piece leads with the marker."""
+        self.size += sum(HELD + 8 * len(c) for c in new)
         plain = [c for c in new if len(c) > 1 and c.rfind(MARK) == 0]
         if plain:
             text = " ".join([c[1:] for c in plain])
@@ -50,13 +55,16 @@ class ChunkTable:
                 self.ids.update(zip(plain, [" ".join(names[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
                 new = [c for c in new if c not in self.ids]
         for c in new:
-            # The library puts a first marker in front itself, but not of nothing, and takes it off again.
-            ids = self.sp.encode(c[1:]) if c != MARK else [self.sp.piece_to_id(MARK)]
-            self.ids[c] = " ".join(map(str, ids))
-            decoded = " " + self.sp.decode(ids) if c != MARK else " "
+            self.ids[c], decoded = self.segment(c)
             if decoded != c.replace(MARK, " "):
                 self.odd[c] = decoded
 
+    def segment(self, c: str) -> tuple[str, str]:
+        """Ids and decoded text of one chunk."""
+        # The library puts a first marker in front itself, but not of nothing, and takes it off again.
+        ids = self.sp.encode(c[1:]) if c != MARK else [self.sp.piece_to_id(MARK)]
+        return " ".join(map(str, ids)), " " + self.sp.decode(ids) if c != MARK else " "
+
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """``(number of ids, ids as text, decoded text)`` of a whole text, with the end id: chunks joined back in order of position."""
         end = str(self.sp.eos_id())
@@ -64,17 +72,19 @@ class ChunkTable:
             return 1, end, ""
         marked = MARK + text.replace(" ", MARK)
         chunks = CHUNK.findall(marked)
+        long: dict[str, tuple[str, str]] = {}
         try:
             ids = " ".join(map(self.ids.__getitem__, chunks))
         except KeyError:
             distinct = dict.fromkeys(chunks)
+            if self.size > self.limit:
+                self.forget()
             new = [c for c in distinct if c not in self.ids]
-            if len(self.ids) + len(new) > self.limit:
-                self.ids, self.odd, new = {}, {}, list(distinct)
-            self.learn(new)
-            ids = " ".join(map(self.ids.__getitem__, chunks))
-        if self.odd and not self.odd.keys().isdisjoint(chunks):
-            decoded = "".join([self.odd.get(c) or c.replace(MARK, " ") for c in chunks])[1:]
+            long = {c: self.segment(c) for c in new if len(c) > LONG}
+            self.learn([c for c in new if c not in long])
+            ids = " ".join([long[c][0] if c in long else self.ids[c] for c in chunks])
+        if long or self.odd and not self.odd.keys().isdisjoint(chunks):
+            decoded = "".join([long[c][1] if c in long else self.odd.get(c) or c.replace(MARK, " ") for c in chunks])[1:]
         else:
             decoded = marked[1:].replace(MARK, " ")
         return ids.count(" ") + 2, f"{ids} {end}", decoded
@@ -86,8 +96,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     Words are segmented once per distinct marked word and task, not once per occurrence: texts are
     cut before every run of white-space markers, distinct chunks go to the library, and their ids
     are joined back by position. The table stays with its task, as one table for the corpus would
-    need a shuffled row per word occurrence, many times the text. Its size is bounded, and dropping
-    it changes no id. Whole texts of any length; null is empty text, whose only id is the end id.
+    need a shuffled row per word occurrence, many times the text. Its size in bytes is bounded, and dropping
+    it changes no id. A model with pieces that cross a marker is refused. Whole texts of any length; null is empty text, whose only id is the end id.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model)

@@ -23,16 +23,26 @@ def _windows(w: Column) -> Column:
     return F.when(n >= 3, F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(1))))
 
 
-def _repeated(w: Column, packed: Column) -> tuple:
-    """The windows found twice or more, and how to tell a window's position. ``packed`` is sorted, so equal hashes are neighbours; what the hash pairs is compared by its words."""
+def _repeated(w: Column, packed: Column) -> Column:
+    """Positions of the windows found twice or more, in order.
+
+    ``packed`` is sorted, so windows of one hash are neighbours: those are candidates. Candidates are then sorted
+    by their words, which brings equal ones together whatever else shares their hash.
+    """
     n = F.size(w)
     bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
     low = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
-    at = lambda x: x.bitwiseAND(low - 1).cast("int")
-    match = lambda a, b: (a.bitwiseXOR(b) < low) & (a.bitwiseXOR(b) >= 0) & (F.get(w, at(a)) == F.get(w, at(b))) & (F.get(w, at(a) + 1) == F.get(w, at(b) + 1)) & (F.get(w, at(a) + 2) == F.get(w, at(b) + 2))
-    near = lambda x, y: F.coalesce(match(x, y), F.lit(False))
-    hits = F.filter(packed, lambda x, i: near(x, F.get(packed, i - 1)) | near(x, F.get(packed, i + 1)))
-    return hits, at
+    hashed = lambda a, b: F.coalesce((a.bitwiseXOR(b) < low) & (a.bitwiseXOR(b) >= 0), F.lit(False))
+    maybe = F.filter(packed, lambda x, i: hashed(x, F.get(packed, i - 1)) | hashed(x, F.get(packed, i + 1)))
+
+    def window(x: Column) -> Column:
+        at = x.bitwiseAND(low - 1).cast("int")
+        return F.struct(F.struct(F.get(w, at).alias("a"), F.get(w, at + 1).alias("b"), F.get(w, at + 2).alias("c")).alias("words"), at.alias("at"))
+
+    same = lambda x, y: F.coalesce(x["words"] == y["words"], F.lit(False))
+    # Bound once by a lambda's argument, as the filter reads it three times.
+    found = F.transform(F.array(F.sort_array(F.transform(maybe, window))), lambda g: F.filter(g, lambda x, i: same(x, F.get(g, i - 1)) | same(x, F.get(g, i + 1))))
+    return F.when(F.size(maybe) > 0, F.sort_array(F.transform(F.flatten(found), lambda x: x["at"]))).otherwise(F.array().cast("array<int>"))
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -44,9 +54,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("w", words("text"))
     d = d.withColumn("p", F.sort_array(F.coalesce(_windows(F.col("w")), F.array().cast("array<bigint>"))))
-    hits, at = _repeated(F.col("w"), F.col("p"))
-    d = d.withColumn("s", hits)
-    d = d.withColumn("s", F.when(F.size("s") > 0, F.sort_array(F.transform("s", at))).otherwise(F.array().cast("array<int>")))
+    d = d.withColumn("s", _repeated(F.col("w"), F.col("p")))
     steps = F.aggregate(F.transform("s", lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get("s", i - 1)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     d = d.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -69,10 +70,18 @@ def looks_random(s: str, encode, ratio: float) -> bool:
 
 def random_spans(text: str, encode, ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The method's spans, outside of what the fixed kinds already cover."""
+    starts, ends = [], []  # what is taken, as intervals apart from each other
+    for a, b, _ in sorted(taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(x < b and a < y for x, y, _ in taken) and looks_random(m.group(), encode, ratio):
+        k = bisect.bisect_left(starts, b)  # the last interval that starts before the candidate ends
+        if not (k and ends[k - 1] > a) and looks_random(m.group(), encode, ratio):
             out.append((a, b, "random"))
     return out
 

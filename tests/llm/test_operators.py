@@ -406,6 +406,32 @@ def test_quality(spark, docs, none, rows):
     assert quality.judge(none).count() == 0
 
 
+def test_windows_of_one_hash_are_told_apart(spark):
+    """With all windows under one hash, repeats are still found by their words, whatever stands between them."""
+    texts = ["a b c x a b c y z a b c", "p q r s t u", "m m m m m", "a b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(quality.words("t").alias("w"))
+    packed = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: i.cast("long"))
+    got = [r["s"] for r in df.select(quality._repeated(F.col("w"), packed).alias("s")).collect()]
+    assert got == [[0, 4, 9], [], [0, 1, 2], [], []]
+
+
+def test_expectation_maximisation_equals_a_plain_one():
+    r = random.Random(2)
+    seen = collections.Counter(tuple(r.choice((-1, 0, 1, 1)) for _ in quality.RULES) for _ in range(500))
+    prior, good, bad = 0.8, np.full(6, 0.8), np.full(6, 0.8)
+    votes, n = np.array(list(seen)), np.array(list(seen.values()))
+    for _ in range(50):
+        up = np.prod(np.where(votes > 0, good, np.where(votes < 0, 1 - good, 1)), axis=1) * prior
+        down = np.prod(np.where(votes > 0, 1 - bad, np.where(votes < 0, bad, 1)), axis=1) * (1 - prior)
+        g = up / (up + down) * n
+        prior = g.sum() / n.sum()
+        voted = (votes != 0).T
+        good = np.clip((1 + (votes > 0).T @ g) / (2 + voted @ g), 0.55, 0.995)
+        bad = np.clip((1 + (votes < 0).T @ (n - g)) / (2 + voted @ (n - g)), 0.55, 0.995)
+    got = quality.fit(sorted(seen.items()))
+    assert abs(got[0] - prior) < 1e-6 and np.allclose(got[1], np.array([good, bad]).T)
+
+
 def test_expectation_maximisation_finds_accuracies():
     r, n = random.Random(1), 4000
     true = [(0.95, 0.9), (0.8, 0.7), (0.9, 0.8), (0.7, 0.9), (0.85, 0.85), (0.75, 0.75)]
@@ -488,6 +514,75 @@ def test_secrets(spark, none):
     assert secrets.scan(none, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern()).count() == 0
 
 
+def test_secrets_brute_force(spark):
+    """Against a scanner that tries every start and compares every pair of spans."""
+    r = random.Random(31)
+    alphabet = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", '"', "'", " ", " ", "\n", ":", "=", "AKIA", "AKIAB", "0f3a", "deadbeef", "Zk3vQ9x", "Lr7Tb2M", "wY8pHs", "é", "日", "-", "_", "/", "word", "12345678", "-----"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(60))) for _ in range(400)] + ["secret=" + "x" * 7 + " " + "0123456789abcdef" * 9]
+    encode = secrets.encoder(tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+    def assign(t, i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if t[i : i + len(name)].lower() == name and t[i : i + len(name)].isascii():
+                j = i + len(name)
+                for quote in (1, 0):
+                    k = j + 1 if quote and t[j : j + 1] in ('"', "'") and j < len(t) else j
+                    while t[k : k + 1] == " ":
+                        k += 1
+                    if t[k : k + 1] and t[k] in ":=":
+                        k += 1
+                        while t[k : k + 1] == " ":
+                            k += 1
+                        for skip in (1, 0):
+                            m = k + 1 if skip and t[k : k + 1] and t[k] in "\"'" else k
+                            e = m
+                            while e < len(t) and (t[e].isascii() and t[e].isalnum() or t[e] in "+/_.=-"):
+                                e += 1
+                            if e > m:
+                                return e, e - m
+        return None
+
+    def run(t, i, ok):
+        e = i
+        while e < len(t) and t[e] in ok:
+            e += 1
+        return e
+
+    def scan(t):
+        spans = []
+        for kind in ("assign", "access", "hex"):
+            i = 0
+            while i < len(t):
+                end = size = None
+                if kind == "assign":
+                    end, size = assign(t, i) or (None, None)
+                elif kind == "access" and t.startswith("AKIA", i) and run(t, i + 4, string.ascii_uppercase + string.digits) > i + 4:
+                    end = run(t, i + 4, string.ascii_uppercase + string.digits)
+                elif kind == "hex" and run(t, i, "0123456789abcdef") > i:
+                    end = run(t, i, "0123456789abcdef")
+                if end is None:
+                    i += 1
+                    continue
+                if (size or end - i) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                    spans.append((i, end, kind))
+                i = end
+        base = list(spans)
+        i = 0
+        while i < len(t):
+            e = run(t, i, string.ascii_letters + string.digits + "+/_=-")
+            if e - i >= 20 and not any(a < e and i < b for a, b, _ in base) and secrets.looks_random(t[i:e], encode, 2.4):
+                spans.append((i, e, "random"))
+            i = max(e, i + 1)
+        key = lambda s: (s[0], secrets.KINDS.index(s[2]))
+        text = lambda s: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(s, key=key))
+        return [sum(k == x for *_, k in base) for x in secrets.KINDS[:3]], hashlib.sha256(text(base).encode()).hexdigest(), text(spans)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: ([x["n_assign"], x["n_access"], x["n_hex"]], x["base_sha256"], x["spans"]) for x in secrets.scan(df, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern()).collect()}
+    want = {i: scan(t) for i, t in enumerate(texts)}
+    assert got == want and sum("random" in x[2] for x in want.values()) > 10 and sum("assign" in x[2] for x in want.values()) > 5
+
+
 def test_random_strings():
     encode = secrets.encoder(tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
     r = random.Random(7)
@@ -503,7 +598,7 @@ def test_random_strings():
 
 def test_weighted_sampling(docs, none, rows):
     got = cws.fingerprint_edits(docs, blocks=3).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()))
     want = collections.Counter()
     for k, (i, t, _, _) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -517,6 +612,30 @@ def test_weighted_sampling(docs, none, rows):
     assert cws.fingerprint_edits(none, blocks=3).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 6, 40])
+def test_weighted_sampling_of_ids_that_many_rows_share(spark, blocks):
+    """A third of the rows without an id, another third with one id: order, edited texts and likenesses as by brute force."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, prose(i % 80, 20 + i % 50)) for i in range(120)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    jaccard = lambda x, y: sum((x & y).values()) / max(1, sum((x | y).values()))
+    count = lambda t: collections.Counter(WORDS.findall(t))
+    want, errors = collections.Counter(), []
+    true = collections.defaultdict(list)
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        sha = hashlib.sha256(edited.encode()).hexdigest()
+        want[i, sha] += 1
+        true[i, sha].append((jaccard(count(t), count(edited)), jaccard(count(t), count(after))))
+    got = cws.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), blocks=blocks).collect()
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    for r in got:
+        near = true[r["doc_id"], r["edited_sha256"]]
+        if len(set(near)) == 1:
+            errors += [r["near_edited"] - near[0][0], r["near_next"] - near[0][1]]
+    assert len(errors) > 150 and abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.5 / math.sqrt(cws.SAMPLES) and np.abs(errors).max() < 0.4
+
+
 def test_collision_rate_is_generalised_jaccard(spark):
     a, b = {1: 3, 2: 1, 3: 8, 4: 2}, {1: 1, 3: 9, 4: 2, 5: 4}
     true = sum(min(a.get(x, 0), b.get(x, 0)) for x in a | b) / sum(max(a.get(x, 0), b.get(x, 0)) for x in a | b)
@@ -531,14 +650,14 @@ def test_pieces_equal_the_library(docs, none, rows):
     import sentencepiece
 
     model = tokenizer_file("piece_bpe_32k.model")
-    assert pieces.crossing_pieces(model) == []
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    texts = ["", " ", "  ", "  a  b ", "▁x ▁y", "a▁", "▁", "▁▁ ▁", "<s> </s> <unk>", "\x00a", "👍🏽 日本\n\n\t x  ", "ﬁ é e\u0301", *[t for _, t, _, _ in rows if t]]
-    for limit in (600_000, 3):
+    texts = ["", " ", "  ", "  a  b ", "▁x ▁y", "a▁", "▁", "▁▁ ▁", "<s> </s> <unk>", "\x00a", "👍🏽 日本\n\n\t x  ", "ﬁ é e\u0301", "日本語テキスト" * 40 + " x " + "▁" * 90 + "y" * 100, *[t for _, t, _, _ in rows if t]]
+    for limit in (96 << 20, 3):
         table = pieces.ChunkTable(model, limit)
         for t in texts:
             ids = sp.encode(t, add_eos=True)
             assert table.encode(t) == (len(ids), " ".join(map(str, ids)), sp.decode(ids))
+        assert max(map(len, table.ids)) <= pieces.LONG
     got = {r["doc_id"]: r for r in pieces.digests(docs, model).collect()}
     assert len(got) == 16 and got[0]["n_tokens"] == 1
     full = {r["doc_id"]: r for r in pieces.encode(docs, model).collect()}
@@ -548,6 +667,78 @@ def test_pieces_equal_the_library(docs, none, rows):
     assert pieces.digests(none, model).count() == 0
 
 
+def test_chunk_tables_stay_small_and_refuse_models_with_crossing_pieces(monkeypatch):
+    import sentencepiece
+
+    table = pieces.ChunkTable(tokenizer_file("piece_bpe_32k.model"), limit=100_000)
+    for i in range(40):
+        table.encode(prose(i, 200))
+    assert 0 < table.size < 100_000 + 200 * 400 and len(table.ids) < 1000
+    made = sentencepiece.SentencePieceProcessor
+
+    class Crossing:
+        def __init__(self, **k):
+            self.sp = made(**k)
+
+        def __getattr__(self, name):
+            return getattr(self.sp, name)
+
+        def id_to_piece(self, i):
+            return "a▁b" if i == 500 else self.sp.id_to_piece(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Crossing)
+    with pytest.raises(ValueError):
+        pieces.ChunkTable(tokenizer_file("piece_bpe_32k.model"))
+
+
+def test_language_vectors_brute_force(spark):
+    """Every letter has its own vector; profiles, cosines and scores as by plain loops."""
+    texts = {"xx": "alpha beta gamma " * 3, "yy": "ωμέγα άλφα βήτα " * 3, "zz": "日本語 テキスト Бета"}
+    letter = lambda c: np.random.default_rng((7, c)).integers(0, 2, langid.DIM, np.int8).astype(float) * 2 - 1
+
+    def grams(t):
+        marked = "\0" + re.sub(r"[\W\d_]+", "\0", t.lower()).strip("\0") + "\0"
+        return collections.Counter(marked[i : i + 3] for i in range(len(marked) - 2))
+
+    def vector(t):
+        v = np.zeros(langid.DIM)
+        for g, n in grams(t).items():
+            v += math.sqrt(n) * np.prod([np.roll(letter(ord(c)), 2 - k) for k, c in enumerate(g)], axis=0)
+        return v
+
+    unit = lambda v: v / np.linalg.norm(v)
+    train = spark.createDataFrame(list(texts.items()), "lang string, text string")
+    learned = langid.train(train)
+    for lang, t in texts.items():
+        assert np.allclose(learned[lang], vector(t) / math.sqrt(sum(grams(t).values())))
+    asked = ["beta alpha", "βήτα", "テキスト", "Ångström 12", "ǆ", "𐐨𐐩"]
+    plain = np.array([unit(vector(texts[x])) for x in sorted(texts)])
+    centre = plain.mean(axis=0)
+    got = langid.predict(spark.createDataFrame([(t,) for t in asked], "text string"), learned).collect()
+    for r in got:
+        d = unit(vector(r["text"])) - centre
+        c = np.array([unit(p - centre) @ unit(d) for p in plain])
+        assert r["lang_pred"] == sorted(texts)[c.argmax()] and abs(r["score"] - 1 / np.exp(12 * (c - c.max())).sum()) < 1e-3
+        assert abs(r["cosine"] - plain[c.argmax()] @ unit(vector(r["text"]))) < 1e-4
+    assert len({tuple(langid.Profiles().letter(ord(c))) for c in "abzéβж日本"}) == 8
+
+
+def test_language_profiles_start_anew(spark, monkeypatch):
+    """What is learned does not depend on how many grams a task keeps."""
+    df = spark.createDataFrame([(x, prose(i, 300)) for i, x in enumerate("aabb")], "lang string, text string")
+    whole = langid.train(df)
+    monkeypatch.setattr(langid, "KEPT", 50)
+    monkeypatch.setattr(langid, "STEP", 64)
+    part = langid.train(df)
+    assert all(np.allclose(whole[x], part[x]) for x in "ab")
+
+
+def test_held_out_accuracy_on_the_given_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = [r for r in langid.identify(df).collect() if r["held_out"] and r["lang"] is not None and len((r["text"] or "").split()) >= 20]
+    assert len(got) > 200 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+
+
 def test_language_profiles(spark, docs, none):
     letters = {"xx": "abcdefg", "yy": "aeioumn", "zz": "éèüöñab"}
     rows = []
