@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fields that can label a record, in order.
+#: Fields that can label a record, in order.
 LABEL_FIELDS = ("title", "name", "label", "heading", "headline", "text", "summary", "description")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,38 @@ def score(metric: str, a: Column, b: Column) -> Column:
     return F.when(F.abs(raw) < LARGEST, raw)
 
 
+def matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
+    """Float lists as rows of a matrix; what is null or of another length is a row of NaN."""
+    out = np.full((len(vectors), dimension), np.nan)
+    fits = np.asarray(pa.compute.equal(pa.compute.list_value_length(vectors), dimension).fill_null(False))
+    if fits.any():
+        out[fits] = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    return out
+
+
+def keys(metric: str, qs: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of all queries with all rows, the higher the better; minus infinity where there is none."""
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            qs, x = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (qs, x))
+        s = qs @ x.T
+        if metric == "euclidean":
+            s = np.minimum(2 * s - (qs**2).sum(axis=1)[:, None] - (x**2).sum(axis=1)[None, :], 0)
+        s[~(np.abs(s) < LARGEST)] = -np.inf
+    return s
+
+
+def score_to(metric: str, a: Column, query: Sequence[float]) -> Column:
+    """``score`` with one given vector, by one matrix product a batch."""
+    q = np.array([list(query)], np.float64)
+
+    def run(vectors: pa.Array) -> pa.Array:
+        key = keys(metric, q, matrix(vectors, q.shape[1]))[0]
+        return pa.array(-key if metric == "euclidean" else key, pa.float64(), mask=np.isinf(key))
+
+    return F.arrow_udf(run, "double")(a.cast("array<float>"))
+
+
 def best_first(metric: str, column: str = "score") -> Column:
     return F.col(column).asc_nulls_last() if metric == "euclidean" else F.col(column).desc_nulls_last()
 
@@ -60,23 +94,21 @@ def summary(a: Column) -> Column:
 
 
 def from_base64(text: Column) -> Column:
-    """Little-endian single-precision numbers, base64, to an array; null unless the bytes are whole numbers."""
-    def decode(s: pd.Series) -> pd.Series:
-        import base64
-        import binascii
-
-        import numpy as np
+    """Little-endian single-precision numbers, base64, to an array; null unless the bytes are whole numbers.
 
-        def one(t: str | None) -> list[float] | None:
-            try:
-                raw = base64.b64decode(t, validate=True)
-                return np.frombuffer(raw, "<f4").tolist() if len(raw) % 4 == 0 else None
-            except (binascii.Error, TypeError, ValueError):
-                return None
+    Each number's bytes are read as an integer and put together from sign, exponent and fraction, all in built-in functions.
+    """
+    hexed = F.hex(F.try_to_binary(text, F.lit("base64")))
+    word = lambda i: F.conv(F.concat(*[F.substring(hexed, i * 8 + 7 - 2 * k, 2) for k in range(4)]), 16, 10).cast("long")
 
-        return s.map(one)
+    def number(x: Column) -> Column:
+        exponent, fraction = F.shiftright(x, 23).bitwiseAND(F.lit(255)), x.bitwiseAND(F.lit(0x7FFFFF)).cast("double")
+        size = F.when(exponent == 255, F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).when(exponent == 0, fraction * 2.0**-149).otherwise((1 + fraction * 2.0**-23) * F.pow(F.lit(2.0), (exponent - 127).cast("double")))
+        return (F.when(x >= 1 << 31, -size).otherwise(size)).cast("float")
 
-    return F.pandas_udf(decode, "array<float>")(text)
+    count = F.length(hexed) / 8
+    whole = F.when(F.length(hexed) % 8 == 0, F.transform(F.sequence(F.lit(0), F.greatest(count.cast("int") - 1, F.lit(0))), lambda i: number(word(i))))
+    return F.when(F.length(hexed) == 0, F.array().cast("array<float>")).otherwise(whole)
 
 
 def to_base64(a: Column) -> Column:
@@ -88,9 +120,3 @@ def to_base64(a: Column) -> Column:
         return s.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode())
 
     return F.pandas_udf(encode, "string")(a)
-
-
-def random_unit(dimension: int, seed: int) -> Column:
-    """A random direction per row."""
-    raw = F.array(*[F.randn(seed * 100_003 + i) for i in range(dimension)])
-    return normalized(raw)

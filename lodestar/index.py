@@ -6,7 +6,9 @@ import json
 import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import replace
+from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from .config import IndexConfig
 from .errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound
 from .functions import filters, text
 from .functions import vector as V
-from .operators import ann, embed, search, vecmap
-from .sources.store import Storage, page
+from .operators import ann, embed, search, stats, vecmap
+from .sources.store import Storage, latest, page
 
 RECORD = "pos long, namespace string, id string, values array<float>, norm double, metadata string, deleted boolean"
 
@@ -40,6 +42,18 @@ def check_metadata(metadata: object) -> dict | None:
     return metadata
 
 
+def _metadata_ok(texts: pa.Array) -> pa.Array:
+    """Whether each JSON text is metadata that a single upsert would take."""
+
+    def one(t: str | None) -> bool:
+        try:
+            return t is None or isinstance(m := json.loads(t), dict) and (check_metadata(m) is None or True)
+        except (InvalidArgument, ValueError):
+            return False
+
+    return pa.array(map(one, texts.to_pylist()), pa.bool_())
+
+
 def check_id(rid: object) -> str:
     if not isinstance(rid, str) or not 1 <= len(rid.encode()) <= config.MAX_ID_BYTES:
         raise InvalidArgument(f"an id is a string of 1 to {config.MAX_ID_BYTES} bytes")
@@ -106,13 +120,13 @@ class Index:
         meta = F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")
         r = rows.select("id", F.col("values").cast("array<float>").alias("values"), meta.alias("metadata"))
         id_ok = F.coalesce(F.octet_length("id").between(1, config.MAX_ID_BYTES), F.lit(False))
-        meta_ok = F.col("metadata").isNull() | (F.try_parse_json("metadata").isNotNull() & (F.octet_length("metadata") <= config.MAX_METADATA_BYTES))
+        meta_ok = F.col("metadata").isNull() | F.arrow_udf(_metadata_ok, "boolean")("metadata")
         checks = r.agg(F.count("*").alias("n"), F.count_if(~(id_ok & meta_ok & V.valid(F.col("values"), self.config.dimension, self.config.metric))).alias("bad"), F.count_distinct("id").alias("ids")).first()
         if checks["bad"]:
             raise InvalidArgument(f"{checks['bad']} records are not valid")
         if checks["ids"] != checks["n"]:
             raise InvalidArgument("ids must not repeat within one load")
-        self.storage.append(r.select(F.lit(ns).alias("namespace"), "id", "values", V.norm(F.col("values")).alias("norm"), "metadata", F.lit(False).alias("deleted")))
+        self.storage.append(r.select(F.lit(ns).alias("namespace"), "id", "values", V.norm(F.col("values")).alias("norm"), F.when(~F.col("metadata").rlike(r"^\s*\{\s*\}\s*$"), F.col("metadata")).alias("metadata"), F.lit(False).alias("deleted")))
         return checks["n"]
 
     def upsert_texts(self, texts: Sequence[str | dict], namespace: str | None = None, metadata: dict | Sequence[dict] | None = None) -> int:
@@ -196,7 +210,7 @@ class Index:
         extra = (["values"] if include_values else []) + (["metadata"] if include_metadata else [])
         if plan.endswith("hnsw"):
             celled, cells = self._cells(namespace)
-            nprobe = min(len(cells.centres), math.ceil((cells.probes or len(cells.centres)) * max(effort, top_k) / config.DEFAULT_EF))
+            nprobe = max(1, min(len(cells.centres), math.ceil((cells.probes or len(cells.centres)) * max(effort, top_k) / config.DEFAULT_EF)))
             hits = ann.probe(celled, cells, vector, top_k, self.config.metric, nprobe, where)
             if extra:
                 hits = hits.join(rows.select("id", *extra), "id").orderBy(V.best_first(self.config.metric), "id")
@@ -204,23 +218,35 @@ class Index:
         return search.top_k(rows, vector, top_k, self.config.metric, where, extra), plan
 
     def _cells(self, namespace: str | None) -> tuple[DataFrame, ann.Cells]:
-        """Cells of the namespace as last written, fitted once per state and kept as a table partitioned by cell."""
+        """Records of the namespace with their cells.
+
+        Cells are kept as a table partitioned by cell, with the number of the last write in it. Later writes
+        are dealt to the same cells as they are read, and take the place of the rows they change; after
+        as many changes as call for a compaction the table is written again with fresh centres.
+        """
         ns = config.check_namespace(namespace)
-        state = self.storage.next_seq() - 1
-        folder = f"cells/ns={ns.encode().hex()}-{state}"
-        saved = self.storage.read_text(f"{folder}.json")
-        path = f"{self.storage.path}/{folder}"
-        if saved is None:
-            rows = self._live(ns)
-            cells = ann.fit_cells(rows, self.config.metric)
-            ann.assign(rows.drop("_m"), cells).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-            cells = ann.measured(self.spark.read.parquet(path), cells)
-            self.storage.write_text(f"{folder}.json", json.dumps({"centres": cells.centres, "probes": cells.probes}))
-        else:
-            saved = json.loads(saved)
-            # Cells kept as a bare list of centres were never measured: all are probed.
-            cells = ann.Cells(saved, self.config.metric) if isinstance(saved, list) else ann.Cells(saved["centres"], self.config.metric, saved["probes"])
-        return self.spark.read.parquet(path).withColumn("_m", F.try_parse_json(F.coalesce("metadata", F.lit("{}")))), cells
+        state, folder = self.storage.next_seq() - 1, f"cells/ns={ns.encode().hex()}"
+        saved = json.loads(self.storage.read_text(f"{folder}.json") or "{}")
+        cells = ann.Cells(saved["centres"], self.config.metric, saved["probes"]) if saved else None
+        parsed = lambda rows: rows.withColumn("_m", F.try_parse_json(F.coalesce("metadata", F.lit("{}"))))
+        if saved and saved["state"] >= self.storage.oldest():
+            table = self.spark.read.parquet(f"{self.storage.path}/{folder}-{saved['state']}")
+            if saved["state"] == state:
+                return parsed(table), cells
+            log = self.storage.log(saved["state"]).where(F.col("namespace") == ns)
+            if log.count() < max(1_000, 0.2 * saved["rows"]):
+                new = latest(log, keep_deleted=True)
+                rows = table.join(new.select("id"), "id", "left_anti").unionByName(ann.assign(new.where("not deleted"), cells))
+                return parsed(rows), cells
+        rows = self._live(ns).drop("_m")
+        n = rows.count()
+        cells = ann.fit_cells(rows, self.config.metric, total=n)
+        path = f"{self.storage.path}/{folder}-{state}"
+        ann.assign(rows, cells).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(path)
+        table = self.spark.read.schema(rows.schema.add("cell", "integer")).parquet(path)
+        cells = ann.measured(table, cells)
+        self.storage.write_text(f"{folder}.json", json.dumps({"centres": cells.centres, "probes": cells.probes, "state": state, "rows": n}))
+        return parsed(table), cells
 
     def search(self, text: str, top_k: int = 10, filter: dict | None = None, namespace: str | None = None) -> tuple[DataFrame, str]:
         """Nearest records of a text, with metadata."""
@@ -263,19 +289,35 @@ class Index:
         return self._live(namespace).where(self._filter(filter)).count()
 
     def describe_index_stats(self, filter: dict | None = None) -> dict:
-        """Records per namespace, those without a match included, and in all."""
+        """Records per namespace, those without a match or emptied included, and in all."""
         rows = self._live(every=True).groupBy("namespace").agg(F.count_if(self._filter(filter)).alias("n")).collect()
-        spaces = {r["namespace"]: r["n"] for r in rows}
+        written = [r["namespace"] for r in self.storage.log(self.storage.at()).select("namespace").distinct().collect()]
+        spaces = dict.fromkeys([*self.storage.current().get("namespaces", []), *written], 0) | {r["namespace"]: r["n"] for r in rows}
         return {"dimension": self.config.dimension, "metric": self.config.metric, "namespaces": spaces, "total": sum(spaces.values())}
 
-    def vector_map(self, limit: int = 1500, namespace: str | None = None, color_fields: Sequence[str] = ()) -> tuple[DataFrame, list[float]]:
-        """Points of a sample with label and groups, and the variance both axes explain."""
+    def summary(self) -> dict:
+        """Live records, how they are searched, and bytes on disk."""
+        live = self._live(every=True).count()
+        return {"name": self.config.name, "live": live, "kind": "cells" if search.plan(live, self.config.index_type)[0] == "hnsw" else "flat", "bytes": self.storage.fs.getContentSummary(self.storage._p("")).getLength()}
+
+    def vector_map(self, limit: int = 1500, namespace: str | None = None, color_fields: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
+        """Points of a sample with label and groups; and the variance both axes explain, how many records there are, how many were sampled, and the fields to colour by.
+
+        Without ``color_fields`` those fields of the sample are taken that have 2 to 12 groups.
+        """
         rows = self._live(namespace)
         points, variance = vecmap.vector_map(rows, limit)
         get = filters.variant("_m")
+        group = lambda f: F.coalesce(*[text.group_value(get(f)[k], k) for k in ("bool", "number", "string")])
         names = text.label([get(f)["string"] for f in text.LABEL_FIELDS]).alias("label")
-        groups = [F.coalesce(*[text.group_value(get(f)[k], k) for k in ("bool", "number", "string")]).alias(f) for f in color_fields]
-        return points.join(rows.select("id", names, *groups), "id"), variance
+        shown = points.join(rows.select("id", names, "_m", "metadata"), "id")
+        if color_fields is None:
+            named = shown.select(F.explode(F.map_keys(F.from_json("metadata", "map<string,string>"))).alias("f")).distinct()
+            found = sorted(r["f"] for r in named.limit(1000).collect())
+            color_fields = sorted(r["field"] for r in stats.group_fields(stats.unpivot_fields(shown.select(*[group(f).alias(f"g{i}") for i, f in enumerate(found)]), [f"g{i}" for i in range(len(found))])).collect()) if found else []
+            color_fields = [found[int(g[1:])] for g in color_fields]
+        out = shown.select(*points.columns, "label", *[group(f).alias(f) for f in color_fields])
+        return out, {"variance": variance, "total": rows.count(), "sampled": points.count(), "color_fields": list(color_fields)}
 
     # Keeping
 
@@ -305,7 +347,7 @@ class Catalog:
             if not embed_model:
                 raise InvalidArgument("a dimension or an embedding model")
             dimension = embed.dimension_of(embed_model["provider"], embed_model["model"])
-        made = IndexConfig(name, dimension, metric, index_type, ef_search, embed_model)
+        made = IndexConfig(name, dimension, metric, index_type, ef_search, embed_model, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
         if self.files.read_text(f"{name}/index.json") is not None:
             old = self.index(name)
             if exist_ok and (old.config.dimension, old.config.metric) == (dimension, metric):
@@ -327,6 +369,11 @@ class Catalog:
         names = sorted(s.getPath().getName() for s in self.files.fs.listStatus(root) if s.isDirectory())
         return [IndexConfig.from_json(t) for n in names if config.NAME.match(n) and (t := self.files.read_text(f"{n}/index.json"))]
 
+    def summary(self) -> dict:
+        """All indexes together: live records, kinds of search, bytes on disk."""
+        each = [self.index(c.name).summary() for c in self.list_indexes()]
+        return {"indexes": len(each), "live": sum(e["live"] for e in each), "kinds": sorted({e["kind"] for e in each}), "bytes": sum(e["bytes"] for e in each)}
+
     def delete_index(self, name: str) -> None:
         if not config.NAME.match(name) or self.files.read_text(f"{name}/index.json") is None:
             raise NotFound(f"no index {name!r}")

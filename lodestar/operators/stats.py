@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper edges of the latency histogram in milliseconds; the last bucket is open.
+#: Upper edges of the latency histogram in milliseconds; the last bucket is open.
 EDGES_MS = (0.25, 0.5, 1, 2.5, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)
 
 
@@ -18,13 +18,34 @@ def namespace_stats(records: DataFrame, where: Column | None = None) -> DataFram
 
 
 def latency_summary(samples: DataFrame, window_s: float = 60.0) -> DataFrame:
-    """``(route, index, samples, qps, p50, p95, p99, errors)`` overall, by route and by index in one pass over ``(route, index, ms, error)``."""
-    by = samples.groupingSets([[], [F.col("route")], [F.col("index")]], "route", "index")
-    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = by.agg(F.count("*").alias("samples"), F.count_if("error").alias("errors"), p.alias("p"), F.grouping_id().alias("level"))
+    """``(route, index, samples, qps, p50, p95, p99, errors)`` overall, by route and by index over the last ``window_s`` seconds of ``(ts, route, index, ms, error)``.
+
+    The end of the window is the newest sample. Equal samples are counted before they meet in a percentile.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    end = samples.agg(F.max(at).alias("end"))
+    recent = samples.withColumn("at", at).join(F.broadcast(end), F.col("at") > F.col("end") - F.lit(round(window_s * 1e6)))
+    counted = recent.groupBy("route", "index", "ms").agg(F.count("*").alias("n"), F.count_if("error").alias("errors"))
+    by = counted.groupingSets([[], [F.col("route")], [F.col("index")]], "route", "index")
+    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
+    out = by.agg(F.sum("n").alias("samples"), F.sum("errors").alias("errors"), p.alias("p"), F.grouping_id().alias("level")).where("samples > 0")
     return out.select("level", "route", "index", "samples", "errors", F.round(F.col("samples") / window_s, 2).alias("qps"), *[F.col("p")[i].alias(f"p{n}") for i, n in enumerate((50, 95, 99))])
 
 
+def bench_latency(samples: DataFrame) -> DataFrame:
+    """``(route, mean_ms, p50, p95, p99, qps)`` of requests made one after the other: as many a second as their time allows."""
+    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
+    counted = samples.groupBy("route", "ms").agg(F.count("*").alias("n"))
+    total = F.sum(F.col("ms") * F.col("n"))
+    one = counted.groupBy("route").agg((total / F.sum("n")).alias("mean_ms"), p.alias("p"), F.try_divide(1000 * F.sum("n"), total).alias("qps"))
+    return one.select("route", "mean_ms", *[F.col("p")[i].alias(f"p{n}") for i, n in enumerate((50, 95, 99))], "qps")
+
+
+def legend_counts(points: DataFrame, by: str) -> DataFrame:
+    """``(by, n)``: how many points each entry of a legend stands for, most first."""
+    return points.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
 def latency_histogram(samples: DataFrame, by: str = "route", edges: Sequence[float] = EDGES_MS) -> DataFrame:
     """``(by, edge, upto)``: cumulative counts at each edge and infinity (null), with sum and count of the route."""
     sums = [F.count_if(F.col("ms") <= e).alias(f"e{i}") for i, e in enumerate(edges)]
@@ -38,9 +59,18 @@ def request_counts(requests: DataFrame) -> DataFrame:
 
 
 def prometheus(histogram: DataFrame, by: str = "route", name: str = "request_ms") -> DataFrame:
-    """A cumulative histogram as lines of the exposition format."""
+    """A cumulative histogram as lines of the exposition format: buckets, sum and count."""
     edge = F.coalesce(F.col("edge").cast("string"), F.lit("+Inf"))
-    return histogram.select(F.format_string(f'{name}_bucket{{{by}="%s",le="%s"}} %d', by, edge, "upto").alias("line"))
+    buckets = histogram.select(F.format_string(f'{name}_bucket{{{by}="%s",le="%s"}} %d', by, edge, "upto").alias("line"))
+    whole = histogram.where("edge is null")
+    sums = whole.select(F.format_string(f'{name}_sum{{{by}="%s"}} %.2f', by, "total_ms").alias("line"))
+    return buckets.unionByName(sums).unionByName(whole.select(F.format_string(f'{name}_count{{{by}="%s"}} %d', by, "samples").alias("line")))
+
+
+def prometheus_values(rows: DataFrame, name: str, labels: Sequence[str], value: str) -> DataFrame:
+    """Counters or gauges as lines of the exposition format: one a row."""
+    said = ",".join(f'{c}="%s"' for c in labels)
+    return rows.select(F.format_string(f"{name}{{{said}}} %d", *labels, value).alias("line"))
 
 
 def group_fields(groups: DataFrame, least: int = 2, most: int = 12) -> DataFrame:
@@ -81,6 +111,16 @@ def centroids(records: DataFrame, by: str) -> DataFrame:
 
 
 def rolling(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """Per key, how many samples the last seconds held at each event, and their mean value."""
-    w = Window.partitionBy("key").orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return events.withColumns({"in_window": F.count("*").over(w), "mean_in_window": F.avg("value").over(w)})
+    """Per key, how many samples the last seconds held at each event, and their mean value.
+
+    A key is cut into stretches of time, and each takes in as guests the events just before it that its
+    windows reach, so a key with most events is shared by many tasks.
+    """
+    long = 24 * seconds
+    at = F.col("ts").cast("timestamp").cast("double")
+    stretch = F.floor(at / long)
+    both = F.when(at >= (stretch + 1) * long - seconds, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    rows = events.withColumns({"_at": at, "_own": stretch}).withColumn("_stretch", F.explode(both))
+    w = Window.partitionBy("key", "_stretch").orderBy("_at").rangeBetween(-seconds, 0)
+    out = rows.withColumns({"in_window": F.count("*").over(w), "mean_in_window": F.avg("value").over(w)})
+    return out.where("_stretch = _own").drop("_at", "_own", "_stretch")

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, text
 from ..functions import vector as V
 from ..operators import ann, embed, search, stats, vecmap
-from ..sources.store import latest, page
+from ..sources.store import latest, page, purgeable
 from ..streaming import events as streams
 
 
+#: Seconds that the latency report looks back over the events, which are minutes apart.
+DAY = 86_400.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,21 +36,22 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
-def _stored(spark: SparkSession, sf_dir: str, rid: int = 7) -> list[float]:
-    return list(records(spark, sf_dir).where(F.col("id") == rid).first()["values"])
+def _nearest(spark: SparkSession, sf_dir: str, metric: str, rid: int, k: int = 10, where: Column | None = None) -> DataFrame:
+    """Neighbours of a stored record; none where there is no such record."""
+    rows = records(spark, sf_dir)
+    found = rows.where(F.col("id") == rid).first()
+    if found is None:
+        return rows.limit(0).select("id", F.lit(None).cast("double").alias("score"))
+    return search.top_k(rows, list(found["values"]), k, metric, where).select("id", F.round("score", 6).alias("score"))
 
 
 def _knn(metric: str, rid: int = 7) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search.top_k(records(spark, sf_dir), _stored(spark, sf_dir, rid), 10, metric).select("id", F.round("score", 6).alias("score"))
-
-    return run
+    return lambda spark, sf_dir: _nearest(spark, sf_dir, metric, rid)
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir)
-    where = filters.compile_filter({"label": {"$in": [1, 2]}}, filters.typed(rows.schema))
-    return search.top_k(rows, _stored(spark, sf_dir), 10, "cosine", where).select("id", F.round("score", 6).alias("score"))
+    where = filters.compile_filter({"label": {"$in": [1, 2]}}, filters.typed(records(spark, sf_dir).schema))
+    return _nearest(spark, sf_dir, "cosine", 7, 10, where)
 
 
 def knn_batch_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def knn_batch_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve nearest of a stored record, without itself."""
-    return search.top_k(records(spark, sf_dir), _stored(spark, sf_dir, 11), 12, "cosine", F.col("id") != 11).select("id", F.round("score", 6).alias("score"))
+    return _nearest(spark, sf_dir, "cosine", 11, 12, F.col("id") != 11)
 
 
 def vector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +111,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats.latency_summary(samples(spark, sf_dir))
+    s = stats.latency_summary(samples(spark, sf_dir), DAY)
     return s.select("route", "index", "samples", "errors", "qps", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
@@ -177,11 +182,11 @@ def rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ann_operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fewest probed cells, of a sweep, with a recall at 10 of 0.95."""
+    """The fewest probed cells, of a sweep up to half of all, with a recall at 10 of 0.95; the last where none has it."""
     rows, q = records(spark, sf_dir), asked(spark, sf_dir)
     cells = ann.fit_cells(rows, "cosine")
     celled, truth, sweep = ann.assign(rows, cells), search.batch_top_k(rows, q, 10, "cosine"), None
-    for share in (8, 4, 2, 1):
+    for share in (8, 4, 2):
         effort = max(1, len(cells.centres) // share)
         one = stats.recall(ann.batch_probe(celled, cells, q, 10, "cosine", effort), truth, 10).select(F.lit(effort).alias("effort"), "recall")
         sweep = one if sweep is None else sweep.unionByName(one)
@@ -208,12 +213,28 @@ def sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prometheus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.prometheus(stats.latency_histogram(samples(spark, sf_dir)))
+    lines = stats.prometheus(stats.latency_histogram(samples(spark, sf_dir)))
+    lines = lines.unionByName(stats.prometheus_values(request_counts(spark, sf_dir), "requests_total", ("route", "method", "index", "status"), "requests"))
+    spaces = namespace_stats(spark, sf_dir).where("namespace is not null")
+    return lines.unionByName(stats.prometheus_values(spaces, "records", ("namespace",), "records"))
+
+
+def legend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.legend_counts(records(spark, sf_dir), "label")
+
+
+def bench_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stats.bench_latency(samples(spark, sf_dir))
+    return s.select("route", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50", "p95", "p99", "qps")])
+
+
+#: Writes up to which the two snapshots of the events reach that are kept.
+SNAPSHOTS = (9_900, 9_950)
 
 
 def purgeable_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of deleted records that a snapshot of all writes makes dispensable."""
-    return latest(changes(spark, sf_dir), keep_deleted=True).where("deleted").select("id", "seq")
+    """Markers of deleted records that every kept snapshot covers."""
+    return purgeable(changes(spark, sf_dir), SNAPSHOTS).select("id", "seq")
 
 
 def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +243,8 @@ def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 20,000 events; the rest is due for removal."""
-    return streams.retained(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "user_id"))
+    """The newest 2,000 events; the rest is due for removal."""
+    return streams.retained(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "user_id"), 2_000)
 
 
 def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +269,8 @@ _DOT = "list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DO
 _TOP = "SELECT e.vec_id AS id, round({s}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = {q} {w} ORDER BY {s} {d}, e.vec_id LIMIT {k}"
 _SAMPLES = "SELECT ts, event_type AS route, 'i' || CAST(user_id % 3 AS VARCHAR) AS \"index\", value AS ms, event_type = 'error' AS error FROM events"
 _EDGES = " UNION ALL ".join(f"SELECT CAST({e} AS DOUBLE) AS edge" for e in stats.EDGES_MS) + " UNION ALL SELECT CAST(NULL AS DOUBLE)"
-_SUMMARY = "count(*) AS samples, count(*) FILTER (WHERE error) AS errors, round(count(*) / 60.0, 2) AS qps, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99"
+_RECENT = f"(SELECT * FROM ({_SAMPLES}) WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 86400 SECONDS)"
+_SUMMARY = "count(*) AS samples, count(*) FILTER (WHERE error) AS errors, round(count(*) / 86400.0, 2) AS qps, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99"
 
 SQL = {
     "knn_cosine": _TOP.format(s=_COS, q=7, w="", d="DESC", k=10),
@@ -271,7 +293,7 @@ SQL = {
     "namespace_stats": "SELECT d.lang AS namespace, count(*) FILTER (WHERE l.quality = 1) AS records FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ROLLUP (d.lang)",
     "list_page": "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE starts_with(CAST(doc_id AS VARCHAR), '1') AND CAST(doc_id AS VARCHAR) > '150' ORDER BY 1 LIMIT 25",
     "lww_latest_live": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, props AS metadata FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'",
-    "latency_summary": f"SELECT NULL AS route, NULL AS \"index\", {_SUMMARY} FROM ({_SAMPLES}) UNION ALL SELECT route, NULL, {_SUMMARY} FROM ({_SAMPLES}) GROUP BY route UNION ALL SELECT NULL, \"index\", {_SUMMARY} FROM ({_SAMPLES}) GROUP BY \"index\"",
+    "latency_summary": f"SELECT NULL AS route, NULL AS \"index\", {_SUMMARY} FROM {_RECENT} UNION ALL SELECT route, NULL, {_SUMMARY} FROM {_RECENT} GROUP BY route UNION ALL SELECT NULL, \"index\", {_SUMMARY} FROM {_RECENT} GROUP BY \"index\"",
     "latency_histogram": f"SELECT s.route, e.edge, count(*) FILTER (WHERE e.edge IS NULL OR s.ms <= e.edge) AS upto, count(*) AS samples, round(sum(s.ms), 2) AS total_ms FROM ({_SAMPLES}) s, ({_EDGES}) e GROUP BY s.route, e.edge",
     "rolling_1h": "SELECT event_id, count(*) OVER w AS in_window, round(avg(value) OVER w, 6) AS mean_in_window FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)",
     "tumbling_1h": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -283,17 +305,23 @@ SQL = {
     "rank_delta": "WITH r AS (SELECT q.vec_id AS q, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY " + _COS + " DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (7, 11)) SELECT o.id, o.rank, b.rank AS baseline_rank, b.rank - o.rank AS delta FROM r o LEFT JOIN r b ON o.id = b.id AND b.q = 7 AND b.rank <= 100 WHERE o.q = 11 AND o.rank <= 100",
     "quiet_periods": "WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ts) AS n FROM e) SELECT key, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS writes FROM s GROUP BY key, n",
     "sliding_latency": f"SELECT time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE AS start, route, count(*) AS samples, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms FROM ({_SAMPLES}), range(3) t(k) GROUP BY ALL",
-    "prometheus_lines": f"SELECT 'request_ms_bucket{{route=\"' || s.route || '\",le=\"' || coalesce(CAST(e.edge AS VARCHAR), '+Inf') || '\"}} ' || CAST(count(*) FILTER (WHERE e.edge IS NULL OR s.ms <= e.edge) AS VARCHAR) AS line FROM ({_SAMPLES}) s, ({_EDGES}) e GROUP BY s.route, e.edge",
-    "purgeable_markers": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'error'",
+    "prometheus_lines": f"SELECT 'request_ms_bucket{{route=\"' || s.route || '\",le=\"' || coalesce(CAST(e.edge AS VARCHAR), '+Inf') || '\"}} ' || CAST(count(*) FILTER (WHERE e.edge IS NULL OR s.ms <= e.edge) AS VARCHAR) AS line FROM ({_SAMPLES}) s, ({_EDGES}) e GROUP BY s.route, e.edge"
+    f" UNION ALL SELECT 'request_ms_sum{{route=\"' || route || '\"}} ' || printf('%.2f', sum(ms)) FROM ({_SAMPLES}) GROUP BY route"
+    f" UNION ALL SELECT 'request_ms_count{{route=\"' || route || '\"}} ' || CAST(count(*) AS VARCHAR) FROM ({_SAMPLES}) GROUP BY route"
+    f" UNION ALL SELECT 'requests_total{{route=\"' || route || '\",method=\"POST\",index=\"' || \"index\" || '\",status=\"' || CASE WHEN error THEN '500' ELSE '200' END || '\"}} ' || CAST(count(*) AS VARCHAR) FROM ({_SAMPLES}) GROUP BY route, \"index\", error"
+    " UNION ALL SELECT 'records{namespace=\"' || d.lang || '\"} ' || CAST(count(*) FILTER (WHERE l.quality = 1) AS VARCHAR) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang",
+    "legend_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
+    "bench_latency": f"SELECT route, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, round(count(*) / (sum(ms) / 1000), 6) AS qps FROM ({_SAMPLES}) GROUP BY route",
+    "purgeable_markers": "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'error' AND event_id <= 9900",
     "log_page": "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS id, event_type = 'error' AS deleted, props AS metadata FROM events WHERE event_id > 400 ORDER BY event_id LIMIT 5000",
-    "audit_retention": "SELECT event_id AS id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 20000",
+    "audit_retention": "SELECT event_id AS id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 2000",
     "prefix_scan": "SELECT c_name AS id, c_mktsegment FROM customer WHERE starts_with(c_name, 'Customer#00000001')",
     "labels_of_records": "SELECT doc_id, CASE WHEN length(t) > 90 THEN substr(t, 1, 89) || '…' ELSE t END AS label FROM (SELECT doc_id, nullif(trim(text), '') AS t FROM documents)",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (knn_filtered, knn_batch_dot, similar_records, vector_summary, label_centroid, filter_json_range, namespace_stats, list_page, lww_latest_live, latency_summary, latency_histogram, rolling_1h, tumbling_1h, text_ids, bow_embed, group_fields, facet_counts, request_counts, labels_of_records, ann_recall, vector_map, rank_delta, ann_operating_point, model_ranking, quiet_periods, sliding_latency, prometheus_lines, purgeable_markers, log_page, audit_retention, prefix_scan)
+    plain = (knn_filtered, knn_batch_dot, similar_records, vector_summary, label_centroid, filter_json_range, namespace_stats, list_page, lww_latest_live, latency_summary, latency_histogram, rolling_1h, tumbling_1h, text_ids, bow_embed, group_fields, facet_counts, request_counts, labels_of_records, ann_recall, vector_map, rank_delta, ann_operating_point, model_ranking, quiet_periods, sliding_latency, prometheus_lines, purgeable_markers, log_page, audit_retention, prefix_scan, legend_counts, bench_latency)
     out = {"knn_cosine": _knn("cosine"), "knn_dot": _knn("dotproduct"), "knn_euclidean": _knn("euclidean")}
     return out | {f.__name__: f for f in plain} | {n: _filtered(spec) for n, spec in FILTERS.items()}
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "namespace string, id string, values array<float>, norm double, metadata string, seq long, deleted boolean"
@@ -46,27 +47,45 @@ class Storage:
             stream.close()
 
     def write_text(self, name: str, text: str) -> None:
-        """Write beside and rename, so readers see the old or the new text."""
+        """Write beside and move over the old file in one step, so readers see the old or the new text."""
         tmp, p = self._p(f"{name}.{uuid.uuid4().hex}"), self._p(name)
         out = self.fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(p, False)
-        if not self.fs.rename(tmp, p):
-            raise OSError(f"could not move {name} into place")
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        how = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration()).rename(tmp, p, how)
+
+    def current(self) -> dict:
+        """What the last snapshot wrote down; nothing where that is lost or damaged, as all of it can be found again."""
+        try:
+            found = json.loads(self.read_text("CURRENT") or "{}")
+        except ValueError:
+            found = {}
+        return found if isinstance(found, dict) else {}
+
+    def at(self) -> int:
+        """The number of the newest whole snapshot, 0 without any; damaged and stray folders do not count."""
+        return max(self.numbers("snapshot"), default=0)
+
+    def oldest(self) -> int:
+        """The state from which all later changes are still in the log."""
+        kept = self.numbers("changes")
+        return min(kept) - 1 if kept else self.at()
 
     def next_seq(self) -> int:
-        floor = int(json.loads(self.read_text("CURRENT") or "{}").get("high", 0))
-        return max([floor, *self.numbers("changes"), *self.numbers("snapshot")]) + 1
+        return max([int(self.current().get("high", 0)), *self.numbers("changes"), *self.numbers("snapshot")]) + 1
 
-    def append(self, rows: DataFrame) -> int:
-        """One write: rows ``(namespace, id, values, norm, metadata, deleted)``; the last of an id in ``pos`` order counts."""
-        seq = self.next_seq()
+    def append(self, rows: DataFrame, seq: int | None = None) -> int:
+        """One write: rows ``(namespace, id, values, norm, metadata, deleted)``; the last of an id in ``pos`` order counts. A number given is that of a write to be replaced."""
+        seq = seq or self.next_seq()
         if "pos" in rows.columns:
             last = Window.partitionBy("namespace", "id").orderBy(F.desc("pos"))
             rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
         cols = ("namespace", "id", "values", "norm", "metadata", "deleted")
-        rows.select(*cols).write.parquet(f"{self.path}/changes/seq={seq}")
+        rows.select(*cols).write.mode("overwrite").parquet(f"{self.path}/changes/seq={seq}")
         return seq
 
     def log(self, after: int = 0) -> DataFrame:
@@ -79,36 +98,60 @@ class Storage:
         return read.parquet(*[f"{self.path}/changes/seq={n}" for n in parts]).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
     def live(self, keep_deleted: bool = False) -> DataFrame:
-        """Snapshot and later changes, the latest row per key, without deleted ones."""
-        current = json.loads(self.read_text("CURRENT") or "{}")
-        at = int(current.get("seq", 0))
-        if at and at not in self.numbers("snapshot"):
-            at = 0  # no usable snapshot: the whole log
-        rows = self.log(at)
-        if at:
-            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/snapshot/seq={at}"))
-        return latest(rows, keep_deleted)
+        """Snapshot and later changes, the latest row per key, without deleted ones.
+
+        A snapshot has one row per key, so it is read as it is: only the keys of later changes are taken out of it,
+        and only the changes are merged.
+        """
+        at = self.at()
+        log, later = self.log(at), any(n > at for n in self.numbers("changes"))
+        if not at:
+            return latest(log, keep_deleted)
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/snapshot/seq={at}")
+        if not later:
+            return rows
+        changed = latest(log.select("namespace", "id", "seq"), True, ()).select("namespace", "id")
+        return rows.join(changed, ["namespace", "id"], "left_anti").unionByName(latest(log, keep_deleted))
 
     def snapshot(self) -> int:
-        """Write the live rows down, point to them, and drop what they replace; numbers go on from the highest."""
-        numbers = self.numbers("changes")
-        current = json.loads(self.read_text("CURRENT") or "{}")
-        if not numbers or max(numbers) <= int(current.get("seq", 0)):
-            return int(current.get("seq", 0))
+        """Write the live rows down and point to them; numbers go on from the highest.
+
+        The snapshot before and the changes since stay until the next one, for readers that still use them
+        and in case the new one is lost.
+        """
+        numbers, before = self.numbers("changes"), self.at()
+        if not numbers or max(numbers) <= before:
+            return before
         seq = max(numbers)
+        spaces = sorted({*self.current().get("namespaces", []), *(r["namespace"] for r in self.log(before).select("namespace").distinct().collect())})
+        self.fs.delete(self._p(f"snapshot/seq={seq}"), True)  # what an interrupted try has left
         self.live().write.parquet(f"{self.path}/snapshot/seq={seq}")
-        self.write_text("CURRENT", json.dumps({"seq": seq, "high": seq}))
-        for kind, top in (("changes", seq), ("snapshot", seq - 1)):
+        self.write_text("CURRENT", json.dumps({"seq": seq, "high": seq, "namespaces": spaces}))
+        for kind, top in (("changes", before), ("snapshot", before - 1)):
             for n in self.numbers(kind):
                 if n <= top:
                     self.fs.delete(self._p(f"{kind}/seq={n}"), True)
         return seq
 
+    def compact(self, least: int = 1_000, share: float = 0.2) -> bool:
+        """Take a snapshot if the changes since the last one are at least ``least`` rows and that share of the live rows."""
+        changed = self.log(self.at()).count()
+        if changed < least or changed < share * self.live().count():
+            return False
+        self.snapshot()
+        return True
+
 
-def latest(rows: DataFrame, keep_deleted: bool = False) -> DataFrame:
+def latest(rows: DataFrame, keep_deleted: bool = False, cols: tuple[str, ...] = ("values", "norm", "metadata", "deleted")) -> DataFrame:
     """The row with the highest ``seq`` of each (namespace, id). ``max_by`` combines before the shuffle, so keys written often cost one row a task."""
-    one = rows.groupBy("namespace", "id").agg(F.max_by(F.struct("values", "norm", "metadata", "seq", "deleted"), "seq").alias("r")).select("namespace", "id", "r.*")
-    return one if keep_deleted else one.where("not deleted")
+    one = rows.groupBy("namespace", "id").agg(F.max_by(F.struct("seq", *cols), "seq").alias("r")).select("namespace", "id", "r.*")
+    names = [c.split()[0] for c in SCHEMA.split(", ") if c.split()[0] in one.columns]
+    return one.select(*names) if keep_deleted or "deleted" not in cols else one.where("not deleted").select(*names)
+
+
+def purgeable(rows: DataFrame, snapshots: Sequence[int]) -> DataFrame:
+    """Markers of deleted records that every kept snapshot already covers."""
+    return latest(rows, keep_deleted=True).where("deleted").where(F.col("seq") <= min(snapshots, default=0))
 
 
 def page(rows: DataFrame, limit: int, prefix: str = "", after: str | None = None) -> DataFrame:
@@ -117,7 +160,3 @@ def page(rows: DataFrame, limit: int, prefix: str = "", after: str | None = None
     if after is not None:
         found = found.where(F.col("id") > after)
     return found.orderBy("id").limit(limit + 1)
-
-
-def metadata_variant(column: str = "metadata") -> Column:
-    return F.try_parse_json(column)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,17 +74,23 @@ def lockout(attempts: DataFrame, rule: Lockout | None = None, late: str = "5 min
 
 
 def write_changes(changes: DataFrame, storage: Storage, checkpoint: str, compact_every: int = 50_000):
-    """A stream of records into an index's change table, one numbered write a micro-batch; a snapshot after so many rows."""
-    pending = [0]
-
-    def sink(batch: DataFrame, _: int) -> None:
-        n = batch.count()
-        if n:
-            storage.append(batch)
-            pending[0] += n
-            if pending[0] >= compact_every:
-                storage.snapshot()
-                pending[0] = 0
+    """A stream of records into an index's change table, one numbered write a micro-batch; a snapshot after so many rows.
+
+    A batch's number is written down before its rows, so a batch that is run again after a failure replaces
+    what it wrote. Of rows of one id in a batch the last one counts. How many rows wait for a snapshot
+    is counted in the table, which outlives the stream.
+    """
+    name = f"stream-{hashlib.sha1(checkpoint.encode()).hexdigest()[:16]}.json"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        known = json.loads(storage.read_text(name) or "{}")
+        seq = known["seq"] if known.get("batch") == number else storage.next_seq()
+        if seq <= storage.at():  # run again after its rows went into a snapshot
+            return
+        storage.write_text(name, json.dumps({"batch": number, "seq": seq}))
+        storage.append(batch.withColumn("pos", F.monotonically_increasing_id()), seq)
+        if storage.log(storage.at()).count() >= compact_every:
+            storage.snapshot()
 
     return changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -36,6 +36,13 @@ def test_change_stream_and_windows(spark):
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     events.write_changes(stream, storage, path + "/checkpoint", compact_every=3).awaitTermination(120)
     assert storage.live().count() == 5 and storage.numbers("snapshot") == [1]
+    # More of the stream: the last of an id in a batch counts, rows are counted over restarts, and a batch run again replaces itself.
+    spark.createDataFrame([("", "r1", [float(i)], 1.0, None, False) for i in range(2)], spark.read.parquet(src).schema).coalesce(1).write.mode("append").parquet(src)
+    events.write_changes(stream, storage, path + "/checkpoint", compact_every=3).awaitTermination(120)
+    assert storage.numbers("changes") == [2] or storage.numbers("changes") == [1, 2]
+    assert storage.live().where("id = 'r1'").first()["values"] == [1.0] and storage.numbers("snapshot") == [1]
+    name = next(s.getPath().getName() for s in storage.fs.listStatus(storage._p("")) if s.getPath().getName().startswith("stream-"))
+    assert storage.read_text(name) == '{"batch": 1, "seq": 2}'
     t0 = dt.datetime(2024, 1, 1)
     e = spark.createDataFrame([(t0 + dt.timedelta(seconds=s), "a", float(s)) for s in (0, 1, 10)], "ts timestamp, route string, ms double")
     assert events.windowed_latency(e).agg(F.sum("samples")).first()[0] == 18
