@@ -76,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_warc_fixity": OP2_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_warc_fixity": OP2_SQL, "op3_url_equivalence": OP3_SQL}
 
 
 OP1_SQL = r"""
@@ -125,3 +125,29 @@ WITH p AS (
 SELECT page_id, file, "offset", length, sha256(a) AS primary_hash, CASE WHEN pick = 2 THEN NULL ELSE sha256(b) END AS replica_hash, CASE WHEN pick = 2 THEN 'missing' ELSE 'altered' END AS fault
 FROM o WHERE pick = 2 OR changed
 """
+
+#: Components by spelling. Links out of the html are not said here: it equals the query on tables whose pages hold no canonical, og:url or refresh tag, as the given ones.
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, contains(coalesce(url, ''), '://') AS known,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)')) AS kept
+  FROM pages
+), k AS (
+  SELECT *, CASE WHEN known THEN regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/index)?\.html?$|/+$', '', 'g') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key,
+    CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM p
+), r AS (
+  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM k
+), g AS (
+  SELECT key, least(min(url), key) AS component, coalesce(bool_or(said = 'block'), false) AND NOT coalesce(bool_or(said = 'allow'), false) AS blocked FROM r WHERE key IS NOT NULL GROUP BY key
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, component,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN blocked THEN 'alias' ELSE 'none' END AS decided
+FROM r LEFT JOIN g ON r.key = g.key
+"""
