@@ -18,8 +18,8 @@ from .search import batch_top_k, query_blocks, scanned, top_k
 
 #: Rows on which cells are fitted, a documented sample (every row is dealt to a cell), and most cells there are.
 FIT_ROWS, MOST_CELLS = 200_000, 4_096
-#: Recall that the default number of probed cells reaches, at so many neighbours, and how many rows ask for theirs to find it.
-LEAST_RECALL, RECALL_K, ASKING_ROWS = 0.95, 10, 500
+#: Recall that the default number of probed cells reaches on the asking vectors (a margin: others may find 0.95), at so many neighbours, and how many rows ask for theirs to find it.
+LEAST_RECALL, RECALL_K, ASKING_ROWS = 0.98, 10, 500
 
 
 @dataclass(frozen=True)
