@@ -132,7 +132,7 @@ WITH p AS (
   SELECT page_id, url, contains(coalesce(url, ''), '://') AS known,
     translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
-    list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)')) AS kept
+    [x FOR x IN string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&') IF x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)')] AS kept
   FROM pages
 ), k AS (
   SELECT *, CASE WHEN known THEN regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/index)?\.html?$|/+$', '', 'g') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key,
