@@ -15,34 +15,52 @@ RULES = ("symbols", "repeats", "lines", "word_length", "variety", "ending")
 
 
 def _windows(w: Column) -> Column:
-    """Each 3-word window as one long: the high bits of its hash, and its position in as few low bits as the text needs."""
-    n = F.size(w)
-    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
-    hashed = F.transform(w, lambda x, i: (F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(-low)).bitwiseOR(i.cast("long")))
-    return F.when(n >= 3, F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(1))))
+    """The hash of each 3-word window, by position."""
+    hashed = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.slice(hashed, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
 
 
-def _repeated(w: Column, packed: Column) -> Column:
+def _low(w: Column) -> Column:
+    """The power of two from which on bits are a window's hash; those below hold its position, in as few bits as the text needs."""
+    bits = F.ceil(F.log2(F.greatest(F.size(w), F.lit(2)).cast("double"))).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+
+
+def _packed(hashes: Column, low: Column) -> Column:
+    """Windows as one sorted array of longs, the high bits of the hash and the position; empty where all hashes differ, so that nothing can repeat."""
+    packed = F.transform(hashes, lambda x, i: x.bitwiseAND(-low).bitwiseOR(i.cast("long")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _repeated(w: Column, packed: Column, low: Column | None = None) -> Column:
     """Positions of the windows found twice or more, in order.
 
-    ``packed`` is sorted, so windows of one hash are neighbours: those are candidates. Candidates are then sorted
-    by their words, which brings equal ones together whatever else shares their hash.
+    ``packed`` is sorted, so windows of one hash are neighbours: those are candidates. Where neighbours of one
+    hash always have the same words, each hash stands for one window and all candidates repeat. Else they are
+    sorted by their words, which brings equal ones together whatever else shares their hash.
     """
-    n = F.size(w)
-    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
-    hashed = lambda a, b: F.coalesce((a.bitwiseXOR(b) < low) & (a.bitwiseXOR(b) >= 0), F.lit(False))
-    maybe = F.filter(packed, lambda x, i: hashed(x, F.get(packed, i - 1)) | hashed(x, F.get(packed, i + 1)))
+    low = _low(w) if low is None else low
+    alike = lambda x, y: x.bitwiseAND(-low) == y.bitwiseAND(-low)
+    at = lambda x: x.bitwiseAND(low - 1).cast("int")
+    same = lambda x, y: F.coalesce(x["words"] == y["words"], F.lit(False))
 
     def window(x: Column) -> Column:
-        at = x.bitwiseAND(low - 1).cast("int")
-        return F.struct(F.struct(F.get(w, at).alias("a"), F.get(w, at + 1).alias("b"), F.get(w, at + 2).alias("c")).alias("words"), at.alias("at"))
+        return F.struct(F.struct(F.get(w, at(x)).alias("a"), F.get(w, at(x) + 1).alias("b"), F.get(w, at(x) + 2).alias("c")).alias("words"), at(x).alias("at"))
 
-    same = lambda x, y: F.coalesce(x["words"] == y["words"], F.lit(False))
-    # Bound once by a lambda's argument, as the filter reads it three times.
-    found = F.transform(F.array(F.sort_array(F.transform(maybe, window))), lambda g: F.filter(g, lambda x, i: same(x, F.get(g, i - 1)) | same(x, F.get(g, i + 1))))
-    return F.when(F.size(maybe) > 0, F.sort_array(F.transform(F.flatten(found), lambda x: x["at"]))).otherwise(F.array().cast("array<int>"))
+    def differ(x: Column, y: Column) -> Column:
+        return (F.get(w, at(x)) != F.get(w, at(y))) | (F.get(w, at(x) + 1) != F.get(w, at(y) + 1)) | (F.get(w, at(x) + 2) != F.get(w, at(y) + 2))
+
+    # Arrays that are read more than once are bound by a lambda's argument.
+    def by_words(maybe: Column) -> Column:
+        found = F.transform(F.array(F.sort_array(F.transform(maybe, window))), lambda g: F.filter(g, lambda x, i: same(x, F.get(g, i - 1)) | same(x, F.get(g, i + 1))))
+        return F.transform(F.flatten(found), lambda x: x["at"])
+
+    def positions(maybe: Column) -> Column:
+        clash = F.filter(maybe, lambda x, i: alike(x, F.get(maybe, i - 1)) & differ(x, F.get(maybe, i - 1)))
+        return F.when(F.size(clash) == 0, F.transform(maybe, at)).otherwise(by_words(maybe))
+
+    maybe = F.filter(packed, lambda x, i: alike(x, F.get(packed, i - 1)) | alike(x, F.get(packed, i + 1)))
+    return F.when(F.size(packed) > 0, F.sort_array(F.flatten(F.transform(F.array(maybe), positions)))).otherwise(F.array().cast("array<int>"))
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -53,8 +71,10 @@ def base_columns(docs: DataFrame) -> DataFrame:
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("w", words("text"))
-    d = d.withColumn("p", F.sort_array(F.coalesce(_windows(F.col("w")), F.array().cast("array<bigint>"))))
-    d = d.withColumn("s", _repeated(F.col("w"), F.col("p")))
+    # ``h`` and ``p`` are read more than once, so Spark keeps them as columns rather than repeating what they stand for.
+    d = d.withColumns({"h": _windows(F.col("w")), "low": _low(F.col("w"))})
+    d = d.withColumn("p", _packed(F.col("h"), F.col("low")))
+    d = d.withColumn("s", _repeated(F.col("w"), F.col("p"), F.col("low")))
     steps = F.aggregate(F.transform("s", lambda x, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), x - F.get("s", i - 1)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     d = d.select(
