@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import drop_tables, materialize, table_mark
 
 #: Bytes of the anchors that stand for windows, text positions handled at once, and bytes indexed together.
-GRAM, STEP, BLOCK = 40, 1 << 22, 1 << 18
+GRAM, STEP, BLOCK = 40, 1 << 22, 1 << 16
 #: Contexts of one group that are indexed together in one task; larger groups are dealt anew by more of the bytes their windows share.
 TOGETHER = 512
 #: Windows of one piece when contexts are dealt anew, and when pieces are: at last a piece is one window.
@@ -88,64 +88,95 @@ def _anchor_rows(length: int):
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of some texts, with text positions sampled at both ends of every run.
 
-    Suffixes are ordered by their first 224 bytes or more (doubled from 7), enough to bring together all that
-    share a window of up to 224. What is kept are the runs: symbol and length of each, and at every seam
-    between two the neighbouring text positions with what they have in common.
+    Suffixes are ordered to the end of their texts: a match that streams on from its seam is only found
+    if neighbours have the longest match there is, not just one of some length. Suffixes of equal texts stand
+    side by side before equal symbols, so equal texts are sorted once and lengthen the runs. What is kept are the
+    runs: symbol and length of each, and at every seam between two the neighbouring text positions with
+    what they have in common.
     """
 
     def __init__(self, texts: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        n = self.size = int(sizes.sum())
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.starts = np.cumsum(sizes) - sizes
-        left = np.repeat(self.starts + sizes, sizes) - np.arange(n)  # bytes to the end of the own text
-        key = np.zeros(n, np.int64)  # seven symbols of nine bits; nothing after the end of a text
-        for k in range(7):
-            key <<= 9
-            key[: max(0, n - k)] |= np.where(left[: max(0, n - k)] > k, data[k:].astype(np.int64) + 1, 0)
-        order = self._order(key, left, n)
-        before = np.concatenate(([0], data[:-1].astype(np.int64) + 1))[:n]
-        before[self.starts[sizes > 0]] = 0
-        bwt = before[order]
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        copies = np.bincount(which, minlength=len(number))
+        own = sizes[which]
+        self.size, self.starts = int(own.sum()), np.cumsum(own) - own
+        self._place = np.repeat(starts[which] - self.starts, own) + np.arange(self.size)
+        # Zero ends each text; what follows it only decides between suffixes that are equal to their ends.
+        data = np.frombuffer(b"\0".join([*number, b""]), np.uint8)
+        ends, self._length = starts + sizes, len(data)
+        there = np.bincount(data, minlength=256) > 0
+        symbols = np.cumsum(there)[data]
+        symbols[ends] = 0
+        order, self._levels, self._key, self._bits = self._order(symbols, int(there.sum()).bit_length(), int(sizes.max(initial=0)))
+        order = order[len(number) :]  # without the ends
+        bwt = symbols[order - 1]
         # A text's first byte has nothing before it: such a row is a run of its own.
-        heads = np.flatnonzero(np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)))[:n])
-        self.run_symbols, self.run_lengths = bwt[heads], np.diff(heads, append=n)
-        self.upper, self.lower = order[heads[1:] - 1], order[heads[1:]]
-        self.common = self._common(self.upper, self.lower, key, left)
+        heads = np.flatnonzero(np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)))[: len(bwt)])
+        texts_at = np.repeat(np.arange(len(number)), sizes + 1)
+        lengths = np.add.reduceat(copies[texts_at[order]], heads) if len(heads) else heads
+        each = np.where(bwt[heads] == 0, lengths, 1)
+        self.run_symbols, self.run_lengths = np.repeat(bwt[heads], each), np.repeat(lengths // np.maximum(each, 1), each)
+        upper, lower = order[heads[1:] - 1], order[heads[1:]]
+        room = np.minimum(ends[texts_at[upper]] - upper, ends[texts_at[lower]] - lower)
+        twice = starts[copies > 1]  # the seam between a text and its copy
+        self.upper, self.lower = np.concatenate((upper, twice)), np.concatenate((lower, twice))
+        self.common = np.concatenate((np.minimum(self._common(upper, lower), room), sizes[copies > 1]))
+        del self._levels, self._key
 
     @staticmethod
-    def _order(key: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
-        """Suffixes in order of their first 224 symbols. After the first sort only ties are sorted on, by the ranks of what follows."""
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([True], np.diff(key[order]) != 0))[:n]
+    def _order(symbols: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]], np.ndarray, int]:
+        """Suffixes in order of at least ``longest`` symbols, ranks by fewer symbols as ``(symbols, how often to the next, ranks)``, the first symbols as numbers, and the bits of one.
+
+        After the first sort only ties are sorted on, by the ranks of what follows, as many ranks as fit a number.
+        """
+        n, bits = len(symbols), max(1, bits)
+        depth = 63 // bits
+        key, have = symbols.astype(np.int64), 1
+        while have < depth:
+            step = min(have, depth - have)
+            follows = np.zeros(n, np.int64)
+            follows[: max(0, n - have)] = key[have:] >> bits * (have - step)
+            key = key << bits * step | follows
+            have += step
+        order = np.argsort(key)
+        in_order = key[order]
+        fresh = np.concatenate(([True], in_order[1:] != in_order[:-1]))[:n]
         heads = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         rank = np.empty(n, np.int64)
         rank[order] = heads
-        depth, slots = 7, np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))[:n]))
-        while depth < 224 and len(slots):
+        slots = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))[:n]))
+        width, levels = n.bit_length(), []
+        ranks = max(2, 63 // width)
+        while len(slots):
+            levels.append((depth, ranks - 1, rank))
+            if depth > longest:
+                break
             tied = order[slots]
-            after = np.where(left[tied] > depth, rank[np.minimum(tied + depth, n - 1)] + 1, 0)
-            sub = np.argsort(rank[tied] * np.int64(n + 1) + after, kind="stable")
-            tied, after = tied[sub], after[sub]
             old = rank[tied]
-            fresh = np.concatenate(([True], (np.diff(old) != 0) | (np.diff(after) != 0)))
+            sub = old
+            for k in range(1, ranks):
+                sub = sub << width | rank[np.minimum(tied + k * depth, n - 1)]
+            new = np.argsort(sub)
+            tied, sub = tied[new], sub[new]
+            fresh = np.concatenate(([True], sub[1:] != sub[:-1]))
             order[slots] = tied
+            rank = rank.copy()
             rank[tied] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
             slots = slots[~(fresh & np.concatenate((fresh[1:], [True])))]
-            depth *= 2
-        return order
-
-    @staticmethod
-    def _common(a: np.ndarray, b: np.ndarray, key: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at pairs of positions, each within its text: seven symbols a step."""
-        total, room = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
-        going = np.arange(len(a))
-        while len(going):
-            at = total[going]
-            differ = key[a[going] + at] ^ key[b[going] + at]
-            total[going] += sum((differ < 1 << 9 * k).astype(np.int64) for k in range(7))
-            going = going[(differ == 0) & (total[going] < room[going])]
-        return np.minimum(total, room)
+            depth *= ranks
+        return order, levels, key, bits
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at pairs of positions, right as far as both texts go: by the ranks, then by the first symbols."""
+        total, last = np.zeros(len(a), np.int64), len(self._key) - 1
+        for depth, times, rank in reversed(self._levels):
+            for _ in range(times):
+                total += depth * (rank[np.minimum(a + total, last)] == rank[np.minimum(b + total, last)])
+        differ = self._key[np.minimum(a + total, last)] ^ self._key[np.minimum(b + total, last)]
+        return total + sum((differ < 1 << self._bits * k).astype(np.int64) for k in range(63 // self._bits))
 
     def matching_statistics(self) -> np.ndarray:
         """Longest match of every position with any other position of the texts.
@@ -153,40 +184,45 @@ class RunIndex:
         Within a run, neighbours in suffix order continue a match that began one byte earlier, so
         matches are known at the seams and streamed from left to right, one byte shorter a step.
         """
-        longest = np.zeros(self.size, np.int64)
+        longest = np.zeros(self._length, np.int64)
         np.maximum.at(longest, self.upper, self.common)
         np.maximum.at(longest, self.lower, self.common)
         # max over earlier j of longest[j] - (i - j); a match never passes the end of its text
-        step = np.arange(self.size)
-        return np.maximum(np.maximum.accumulate(longest + step) - step, 0)
+        step = np.arange(self._length)
+        return np.maximum(np.maximum.accumulate(longest + step) - step, 0)[self._place]
 
 
 def _index_rows(length: int):
     """Rows ``(g, c, side, ctx)``, groups together, to ``(g, c, from, to)``: the windows of each context that another one of its block holds as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: list[tuple]) -> pa.RecordBatch:
-            index = RunIndex([r[3] for r in rows])
+        def solve(parts: list[tuple[pa.Array, pa.Array, list[bytes]]]) -> pa.RecordBatch:
+            g, c = (pa.concat_arrays([p[k] for p in parts]) for k in (0, 1))
+            index = RunIndex([ctx for p in parts for ctx in p[2]])
+            # No match passes the end of its context, so the last windows' edges stay inside as well.
             long = (index.matching_statistics() >= length).view(np.int8)
-            out = [[], [], [], []]
-            for (g, c, _, ctx), at in zip(rows, index.starts.tolist(), strict=True):
-                edge = np.flatnonzero(np.diff(long[at : at + len(ctx) - length + 1], prepend=np.int8(0), append=np.int8(0)))
-                for a, b in edge.reshape(-1, 2).tolist():
-                    for column, x in zip(out, (g, c, a, b - 1), strict=True):
-                        column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["g", "c", "from", "to"])
-
-        rows, size = [], 0
+            edge = np.flatnonzero(np.diff(long, prepend=np.int8(0), append=np.int8(0))).reshape(-1, 2)
+            row = np.searchsorted(index.starts, edge[:, 0], "right") - 1
+            at = edge - index.starts[row][:, None]
+            take = pa.array(row)
+            return pa.RecordBatch.from_arrays([g.take(take), c.take(take), pa.array(at[:, 0]), pa.array(at[:, 1] - 1)], ["g", "c", "from", "to"])
+
+        parts, size, last = [], 0, None
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                for row in zip(*(x.to_pylist() for x in batch.slice(k, 1024).columns), strict=True):
-                    if size >= BLOCK and row[0] != rows[-1][0]:
-                        yield solve(rows)
-                        rows, size = [], 0
-                    rows.append(row)
-                    size += len(row[3])
-        if rows:
-            yield solve(rows)
+            (g, c), texts, begin = batch.columns[:2], batch.column(3).to_pylist(), 0
+            add = lambda a, b: parts.append((g.slice(a, b - a), c.slice(a, b - a), texts[a:b]))  # noqa: B023, E731
+            group, upto = g.to_numpy(), np.cumsum([0, *map(len, texts)]).tolist()
+            firsts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]).tolist()
+            for a, b in zip(firsts, [*firsts[1:], len(group)], strict=True):
+                if size >= BLOCK and group[a] != last:
+                    add(begin, a)
+                    yield solve(parts)
+                    parts, size, begin = [], 0, a
+                size += upto[b] - upto[a]
+                last = group[a]
+            add(begin, len(group))
+        if size:
+            yield solve(parts)
 
     return run
 

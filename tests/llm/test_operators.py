@@ -478,6 +478,24 @@ def test_run_index_deals_frequent_anchors_anew(spark, monkeypatch, limits):
     assert collections.Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == want
 
 
+def test_run_index_texts_alike_to_different_lengths(spark):
+    """A text alike to two others, to the shorter length with the one that stands next to it in the index, and a copy of it."""
+    r = random.Random(1)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = letters(360)
+    texts = [common[:n] + letters(360 - n) for n in (330, 230, 330)]
+    for group in (texts, [*texts, texts[0]]):
+        index = runindex.RunIndex([t.encode() for t in group])
+        long = index.matching_statistics() >= 200
+        assert [int(long[a : a + 161].sum()) for a in index.starts] == ([131, 31, 131] if group is texts else [161, 31, 131, 161])
+    for n in (5, 9):
+        docs = [(i, letters(150) + common[: r.choice((210, 230, 260, 300, 330))] + letters(150)) for i in range(n)]
+        starts = collections.Counter(t[k : k + 200] for _, t in docs for k in range(len(t) - 199))
+        want = {i: len({j for k in range(len(t) - 199) if starts[t[k : k + 200]] > 1 for j in range(k, k + 200)}) for i, t in docs}
+        got = runindex.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {x["doc_id"]: x["n_removed"] for x in got} == want
+
+
 def test_matching_statistics():
     r = random.Random(9)
     texts = [bytes(r.choice(b"ab") for _ in range(60)) for _ in range(6)] + [b"abab" * 12]
