@@ -111,16 +111,24 @@ def centroids(records: DataFrame, by: str) -> DataFrame:
 
 
 def rolling(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """Per key, how many samples the last seconds held at each event, and their mean value.
+    """Per key, how many samples the last seconds held at each event, and their mean value; events without a time count each other.
 
-    A key is cut into stretches of time, and each takes in as guests the events just before it that its
-    windows reach, so a key with most events is shared by many tasks.
+    Time is cut into stretches as long as a window, so a window is the start of its stretch up to the event and the end
+    of the stretch before. Both are running totals over instants, one upwards and one downwards: work follows the
+    number of events and not that of windows times their contents, and nothing is subtracted.
     """
-    long = 24 * seconds
-    at = F.col("ts").cast("timestamp").cast("double")
-    stretch = F.floor(at / long)
-    both = F.when(at >= (stretch + 1) * long - seconds, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
-    rows = events.withColumns({"_at": at, "_own": stretch}).withColumn("_stretch", F.explode(both))
-    w = Window.partitionBy("key", "_stretch").orderBy("_at").rangeBetween(-seconds, 0)
-    out = rows.withColumns({"in_window": F.count("*").over(w), "mean_in_window": F.avg("value").over(w)})
-    return out.where("_stretch = _own").drop("_at", "_own", "_stretch")
+    span = seconds * 1_000_000
+    rows = events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    instants = rows.groupBy("key", "_at").agg(F.count("*").alias("n"), F.count("value").alias("m"), F.sum(F.col("value").cast("double")).alias("s"))
+    here = F.struct(F.lit(True).alias("own"), F.col("_at").alias("at"), F.col("n"), F.col("m"), F.col("s"))
+    edge = F.struct(F.lit(False).alias("own"), (F.col("_at") - span).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.lit(None).cast("double").alias("s"))
+    points = instants.select("key", "_at", F.explode(F.when(F.col("_at").isNull(), F.array(here)).otherwise(F.array(here, edge))).alias("x")).select("key", "_at", "x.*")
+    points = points.withColumn("stretch", F.col("at") - F.pmod("at", F.lit(span)))
+    stretch = Window.partitionBy("key", "stretch")
+    up, down = (stretch.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("at").asc(), F.col("at").desc()))
+    for c in ("n", "m", "s"):
+        points = points.withColumns({f"{c}_up": F.sum(c).over(up), f"{c}_down": F.sum(c).over(down)})
+    totals = points.groupBy("key", "_at").agg(*[F.sum(F.when(F.col("own"), F.col(f"{c}_up")).otherwise(F.col(f"{c}_down"))).alias(f"_{c}") for c in ("n", "m", "s")])
+    totals = totals.withColumnsRenamed({"key": "_k", "_at": "_a"})
+    out = rows.join(totals, F.col("key").eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_a")))
+    return out.withColumns({"in_window": F.col("_n"), "mean_in_window": F.try_divide("_s", "_m")}).drop("_at", "_k", "_a", "_n", "_m", "_s")

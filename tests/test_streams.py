@@ -57,3 +57,22 @@ def test_reports(spark):
     ranked, failed = embed.compare_models(texts, "boots", [("hashed", "words", 64), ("openai", "text-embedding-3-small", None)])
     assert ranked.where("rank = 1").first()["id"] == 1 and list(failed) == ["text-embedding-3-small"]
     assert embed.model_table(spark).count() == 25
+
+
+def test_rolling_equals_sql(spark):
+    """Against the window that SQL says, with equal instants, edges of windows and stretches, and missing times, keys and values; no frame moves over its rows."""
+    import random
+
+    import duckdb
+    import pyarrow as pa
+
+    r, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 41 == 0 else start + dt.timedelta(seconds=r.choice((0, 20, 60)) * r.randrange(60), microseconds=r.choice((0, 1, 999_999))), r.choice(("a", "b", None)), None if i % 7 == 0 else r.randrange(1000) / 4) for i in range(600)]
+    said = pa.table({c: list(x) for c, x in zip(("event_id", "ts", "key", "value"), zip(*rows, strict=True), strict=True)})  # noqa: F841
+    want = duckdb.sql("SELECT event_id, count(*) OVER w, round(avg(value) OVER w, 6) FROM said WINDOW w AS (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)").fetchall()
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, key string, value double")
+    found = stats.rolling(events, 60)
+    got = [(x["event_id"], x["in_window"], x["mean_in_window"] and round(x["mean_in_window"], 6)) for x in found.collect()]
+    assert sorted(got) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and "unboundedpreceding" in plan
