@@ -21,6 +21,9 @@ FIT_ROWS, MOST_CELLS = 200_000, 4_096
 #: Recall that the default number of probed cells reaches on the asking vectors (a margin: others may find 0.95), at so many neighbours, and how many rows ask for theirs to find it.
 LEAST_RECALL, RECALL_K, ASKING_ROWS = 0.98, 10, 500
 
+#: Distances of rows to centres held at once.
+DISTANCES = 1_000_000
+
 
 @dataclass(frozen=True)
 class Cells:
@@ -47,7 +50,8 @@ class Cells:
 
         def run(vectors: pa.Array) -> pa.Array:
             x = V.matrix(vectors, len(self.centres[0]))
-            near = np.concatenate([self.order(x[k : k + 1024], n) for k in range(0, len(x), 1024)] or [np.empty((0, n))])
+            step = max(1, DISTANCES // len(self.centres))
+            near = np.concatenate([self.order(x[k : k + step], n).astype(np.int32) for k in range(0, len(x), step)] or [np.empty((0, n), np.int32)])
             return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(near.ravel(), pa.int32()))
 
         return F.arrow_udf(run, "array<int>")(values.cast("array<float>"))
@@ -120,6 +124,6 @@ def batch_probe(celled: DataFrame, cells: Cells, queries: DataFrame, k: int = 10
         for i, near in enumerate(asked):
             for c in near:
                 by_cell.setdefault(c, []).append(i)
-        part = scanned(rows, block, k, metric, {c: np.array(i) for c, i in by_cell.items()})
+        part = scanned(rows, block, k, metric, {c: np.array(i, np.int32) for c, i in by_cell.items()})
         out = part if out is None else out.unionByName(part)
     return out

@@ -46,7 +46,14 @@ def _scan(qs: np.ndarray, names: pa.Array, k: int, metric: str, probes: dict[int
             floor[q[full]] = t["key"].to_numpy()[full]
             pool.append(t.filter(pa.array(place < k)))
 
-        gathered = 0
+        def pack(part: pa.RecordBatch) -> None:
+            """One table of a chunk's hits, however many cells they are from: a table takes some KB even without rows."""
+            if hits:
+                q, key, rows = (np.concatenate(c) for c in zip(*hits, strict=True))
+                pool.append(pa.table({"q": q, "key": key, "id": part.column(0).take(pa.array(rows))}))
+                hits.clear()
+
+        gathered, hits = 0, []
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
@@ -55,18 +62,23 @@ def _scan(qs: np.ndarray, names: pa.Array, k: int, metric: str, probes: dict[int
                     groups = [(np.arange(len(x)), np.arange(len(qs)))]
                 else:
                     cell = part.column(2).to_numpy(zero_copy_only=False)
-                    groups = [(np.flatnonzero(cell == c), probes[c]) for c in np.unique(cell).tolist() if c in probes]
+                    by_cell = np.argsort(cell, kind="stable")
+                    ends = np.flatnonzero(np.diff(cell[by_cell])) + 1
+                    groups = [(rows, probes[c]) for rows in np.split(by_cell, ends) if len(rows) and (c := cell[rows[0]].item()) in probes]
                 for rows, asked in groups:
                     key = V.keys(metric, qs[asked], x[rows])
                     least = floor[asked]
                     if len(rows) > k and np.isneginf(least).any():
                         least = np.maximum(least, np.partition(key, len(rows) - k, axis=1)[:, len(rows) - k])
                     qi, ri = np.nonzero(key >= least[:, None])
-                    pool.append(pa.table({"q": asked[qi], "key": key[qi, ri], "id": part.column(0).take(pa.array(rows[ri]))}))
-                    gathered += len(qi)
-                if gathered > GATHERED:
-                    cut()
-                    gathered = 0
+                    if len(qi):
+                        hits.append((asked[qi], key[qi, ri], rows[ri]))
+                        gathered += len(qi)
+                    if gathered > GATHERED:
+                        pack(part)
+                        cut()
+                        gathered = 0
+                pack(part)
         cut()
         for t in pool:
             key = t["key"].to_numpy()
