@@ -126,8 +126,7 @@ def rolling(events: DataFrame, seconds: int = 60) -> DataFrame:
     points = points.withColumn("stretch", F.col("at") - F.pmod("at", F.lit(span)))
     stretch = Window.partitionBy("key", "stretch")
     up, down = (stretch.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("at").asc(), F.col("at").desc()))
-    for c in ("n", "m", "s"):
-        points = points.withColumns({f"{c}_up": F.sum(c).over(up), f"{c}_down": F.sum(c).over(down)})
+    points = points.withColumns({f"{c}_{way}": F.sum(c).over(w) for way, w in (("up", up), ("down", down)) for c in ("n", "m", "s")})
     totals = points.groupBy("key", "_at").agg(*[F.sum(F.when(F.col("own"), F.col(f"{c}_up")).otherwise(F.col(f"{c}_down"))).alias(f"_{c}") for c in ("n", "m", "s")])
     totals = totals.withColumnsRenamed({"key": "_k", "_at": "_a"})
     out = rows.join(totals, F.col("key").eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_a")))
